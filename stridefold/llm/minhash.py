@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridefold.llm.graph import components
-from stridefold.llm.scratch import Scratch
+from stridefold.llm.scratch import Scratch, bounded_batches
 from stridefold.llm.textkernel import blocks, mix, shingle_sets
 
 ROWS = 5
@@ -167,6 +167,7 @@ def near_duplicates(
     Extra columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     bands = bands or bands_for(percent, rows)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

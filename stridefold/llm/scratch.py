@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that texts travel in small, unless the session says otherwise.
+
+    The default of 10,000 rows is tens of megabytes of text, held several times
+    over by the JVM and by Python.
+    """
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "512"), ("maxBytesPerBatch", None, str(4 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 class Scratch:
     """Named tables of one run; ``drop`` frees those that nothing reads any more."""
 

@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
-BLOCK_DOCS = 2048
+BLOCK_BYTES = 1 << 20
+BLOCK_DOCS = 1024
 _BASE = 0x9E3779B97F4A7C15  # odd, hence invertible mod 2**64
 _U = np.uint64
 
