@@ -80,13 +80,13 @@ class Block:
     ``end`` are byte positions in ``data``; ``at`` are the documents' offsets.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, space: np.ndarray = SPACE):
         self.lo, self.hi, self.docs = lo, hi, hi - lo
         self.raw = data[offsets[lo] : offsets[hi]]
         self.data = LOWER[self.raw] if lower else self.raw
         self.at = offsets[lo : hi + 1] - offsets[lo]
         n = len(self.data)
-        gap = SPACE[self.data]
+        gap = space[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.at] = True
         word = ~gap
@@ -133,10 +133,11 @@ class Block:
         return mix(run[inside]), per_doc
 
 
-def blocks(column: pa.Array, lower: bool = False) -> Iterator[Block]:
+def blocks(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Iterator[Block]:
+    """Whole documents in bounded blocks; ``space`` marks the bytes between words."""
     data, offsets = buffers(column)
     for lo, hi in cuts(offsets):
-        yield Block(data, offsets, lo, hi, lower)
+        yield Block(data, offsets, lo, hi, lower, space)
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
