@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridefold.llm import langid, toxicity
 from stridefold.llm.bytebpe import round_trip
 from stridefold.llm.minhash import near_duplicates
 from stridefold.llm.packing import pack
+from stridefold.llm.quality import BASE_RULES, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality(table(spark, sf_dir, "documents"), measured=measured, base=BASE_RULES)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -34,8 +41,32 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
+    "op10_language": op10_language,
 }
