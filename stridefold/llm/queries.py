@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from stridefold.llm import chat, langid, toxicity
 from stridefold.llm.balltree import top_k
 from stridefold.llm.bytebpe import round_trip
+from stridefold.llm.lm import pseudo_likelihood
 from stridefold.llm.minhash import near_duplicates
 from stridefold.llm.packing import pack
 from stridefold.llm.quality import BASE_RULES, quality
+from stridefold.llm.rollup import maintained
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintained(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +53,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -73,13 +84,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_token_counts": op2_token_counts,
     "op3_ball_tree": op3_ball_tree,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: SQL that gives the same rows, where SQL can.

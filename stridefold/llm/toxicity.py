@@ -188,3 +188,19 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold; nothing is joined or shuffled."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [score_block(shared.value, block)[0] for block in blocks(batch.column(at), True, _GAP)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
