@@ -175,7 +175,7 @@ def near_duplicates(
         texts.mapInArrow(_signatures(shingle, bands, rows, lower), "id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed"
     )
     alive = (F.col("n") > 0) & F.col("id").isNotNull()
-    classes = signed.where(alive).groupBy("digest").agg(F.min("id").alias("class_id"))
+    classes = scratch.save(signed.where(alive).groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     reps = (
         signed.where(alive).join(classes, "digest").where(F.col("id") == F.col("class_id")).select("id", "n", "keys", "sketch")
     )
@@ -240,3 +240,12 @@ def near_duplicates(
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows, with all their columns, but one document of each component (its smallest id) in place of all."""
+    scratch = Scratch(docs.sparkSession, "dropped")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    gone = scratch.save(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
