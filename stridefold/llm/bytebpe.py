@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import bounded_batches
 from stridefold.llm.textkernel import buffers, cuts
 
-KEEP = 300_000
+KEEP = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,78 +38,88 @@ class MergeReplay:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
-        self.pairs: dict[int, int] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.follow: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 1)]  # of a token and the next, the rank
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
+                    self.follow[a][b] = rank
+        self.of_bytes = np.full((256, 256), -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.of_bytes[token[0], token[1]] = rank
         self.known: dict[str, bytes] = {}
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The token ids of each piece."""
-        pairs, single = self.pairs.get, self.single
-        token: list[int] = []
-        left: list[int] = []
-        right: list[int] = []
-        heads: list[int] = []
-        for piece in pieces:
-            head, last = len(token), len(token) + len(piece) - 1
-            heads.append(head if piece else -1)
-            token += [single[b] for b in piece]
-            left += range(head - 1, last)
-            right += range(head + 1, last + 2)
-            if piece:
-                left[head] = right[last] = -1
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(right):
-            if q >= 0 and (rank := pairs(token[p] << 32 | token[q])) is not None:
-                index.setdefault(rank, []).append(p)
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """The token ids of each piece, as little-endian unsigned 32-bit integers."""
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(piece) for piece in pieces])
+        at = np.arange(len(raw))
+        after = at + 1
+        after[ends[ends > 0] - 1] = -1
+        before = np.full(len(raw), -1)
+        before[after[after >= 0]] = at[after >= 0]
+        token, left, right = self.single[raw].tolist(), before.tolist(), after.tolist()
+        # the index at first: positions of every pair of bytes, grouped by rank
+        place = np.flatnonzero(after >= 0)
+        rank = self.of_bytes[raw[place], raw[place + 1]]
+        place, rank = place[rank >= 0], rank[rank >= 0]
+        pair = np.full(len(raw), -1)
+        pair[place] = rank
+        standing = pair.tolist()  # rank of the pair that stands at a position now
+        order = np.argsort(rank, kind="stable")
+        place, rank = place[order].tolist(), rank[order]
+        starts = np.flatnonzero(np.diff(rank, prepend=-1)) if len(rank) else np.zeros(0, np.int64)
+        index = {r: place[i:j] for r, i, j in zip(rank[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rank)])}
         heap = list(index)
         heapify(heap)
+        follow = self.follow
         while heap:
             rank = heappop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
-            for i, p in enumerate(places):
-                q = right[p]
-                if token[p] < 0 or q < 0 or pairs(token[p] << 32 | token[q]) != rank:
+            onward, rest = follow[rank], iter(places)
+            for p in rest:
+                if standing[p] != rank:
                     continue
-                token[p], token[q] = rank, -1
+                q = right[p]
+                token[p] = rank
+                token[q] = standing[q] = -1
                 right[p] = after = right[q]
-                earlier = False
+                new = -1
                 if after >= 0:
                     left[after] = p
-                    if (new := pairs(rank << 32 | token[after])) is not None:
-                        earlier = new < rank
+                    new = onward.get(token[after], -1)
+                    if new >= 0:
                         if new in index:
                             index[new].append(p)
                         else:
                             index[new] = [p]
                             heappush(heap, new)
+                standing[p] = new
                 before = left[p]
-                if before >= 0 and (new := pairs(token[before] << 32 | rank)) is not None:
-                    earlier |= new < rank
-                    if new in index:
-                        index[new].append(before)
-                    else:
-                        index[new] = [before]
-                        heappush(heap, new)
-                if earlier and i + 1 < len(places):  # a lower rank came up: it goes first
-                    index.setdefault(rank, []).extend(places[i + 1 :])
+                older = -1
+                if before >= 0:
+                    older = standing[before] = follow[token[before]].get(rank, -1)
+                    if older >= 0:
+                        if older in index:
+                            index[older].append(before)
+                        else:
+                            index[older] = [before]
+                            heappush(heap, older)
+                if 0 <= new < rank or 0 <= older < rank:  # a lower rank came up: it goes first
+                    index.setdefault(rank, []).extend(rest)
                     heappush(heap, rank)
-                    break
-        out = []
-        for head in heads:
-            ids = []
-            while head >= 0:
-                ids.append(token[head])
-                head = right[head]
-            out.append(ids)
-        return out
+        tokens = np.array(token, np.int64)
+        alive = tokens >= 0
+        stops = (4 * np.concatenate([[0], np.cumsum(alive)])[ends]).tolist()
+        out = tokens[alive].astype("<u4").tobytes()
+        return [out[i:j] for i, j in zip([0, *stops], stops)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
@@ -125,8 +135,7 @@ class MergeReplay:
                 todo.append((piece, raw))
             else:
                 self.known[piece] = rank.to_bytes(4, "little")
-        for (piece, _), ids in zip(todo, self.replay([raw for _, raw in todo])):
-            self.known[piece] = np.array(ids, "<u4").tobytes()
+        self.known.update(zip((piece for piece, _ in todo), self.replay([raw for _, raw in todo])))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
