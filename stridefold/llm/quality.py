@@ -188,7 +188,7 @@ def quality(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.select("text").limit(sample_rows).toArrow().column(0).combine_chunks()
+    sample = pa.array([r[0] for r in rows.select("text").take(sample_rows)], pa.string())
     order = ranked(rules, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,3 +205,18 @@ def quality(
                 )
 
     return rows.mapInArrow(run, "doc_id long, " + "".join(f"{m} long, " for m in measured) + "base_failed boolean, kept boolean")
+
+
+def drop_rejected(docs: DataFrame, *, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows, with all their columns, whose text no rule rejects; nothing is joined or shuffled."""
+    bounded_batches(docs.sparkSession)
+    order = ranked(rules, pa.array([r[0] for r in docs.select(F.col(text_col).cast("string")).take(sample_rows)], pa.string()))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [verdicts(Texts(block), order) for block in blocks(batch.column(at))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
