@@ -1,16 +1,34 @@
 """Token ids of whole texts by a tokenizer file whose words never cross white space.
 
 The tokenizer drops white space before it merges, so a text's ids are the ids
-of its white-space-separated chunks end to end. Each worker keeps the chunks it
-has met (bounded), and only new ones go to the tokenizer.
+of its white-space-separated chunks end to end. A chunk of letters and a tail
+of punctuation is in turn the ids of the two, in lower case. Each worker keeps
+the chunks and parts it has met (bounded); new parts go to the tokenizer in one
+text, and the ids that end a word part its answer.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 from functools import lru_cache
+from itertools import chain
+from operator import add
 
-KEEP = 400_000
+import numpy as np
+
+KEEP_CHUNKS, KEEP_PARTS = 1_000_000, 800_000
+#: A chunk's letters (ASCII and U+00C0 to U+00FF) and its tail of ASCII punctuation, or a chunk of another make.
+#: Nothing after such letters can join with them; an apostrophe is left out, as it can begin a contraction.
+_PARTS = re.compile(rb"^((?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+)([!-&(-/:-@\[-`{-~]*+)$|^([^\n]+)$", re.MULTILINE)
+
+
+def _visible() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte (the space stays, as a separator)."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)} | {32: " "}
 
 
 class WordEncoder:
@@ -18,24 +36,70 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # control strings inside a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Tokenizer(self.model.model)  # its merges alone, for words that need no normalising or splitting
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.visible = _visible()
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        done = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in done]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one word each to the tokenizer."""
+        text = b" ".join(words).decode().lower().encode().decode("latin-1").translate(self.visible)
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        if len(self.chunks) + len(chunks) > KEEP_CHUNKS:
+            self.chunks = {}
+        if len(self.parts) + len(chunks) > KEEP_PARTS:
+            self.parts = {b"": b""}
+        order = list(chunks)
+        cores, tails, others = zip(*_PARTS.findall(b"\n".join(order).lower()))
+        fresh = list(set(cores).union(tails).difference(self.parts))
+        if fresh:
+            self.parts.update(zip(fresh, self._together(fresh)))
+        part = self.parts.__getitem__
+        self.chunks.update(zip(order, map(add, map(part, cores), map(part, tails))))
+        if any(others):
+            other = [chunk for chunk, o in zip(order, others) if o]
+            self.chunks.update(zip(other, self._each(other)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
+        gc.disable()  # millions of plain bytes objects and no cycle: scanning them is lost time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
 
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        fresh = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(fresh) > KEEP:
-            self.known = {}
-            fresh = list(set().union(*split))
-        if fresh:
-            done = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, done))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        words = list(chain.from_iterable(split))
+        ids = list(map(self.chunks.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                ids[i] = self.chunks[words[i]]
+        out, at = [], 0
+        for own in split:
+            out.append(b"".join(ids[at : at + len(own)]))
+            at += len(own)
+        return out
 
 
 @lru_cache(2)
