@@ -154,10 +154,10 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
         extra = np.empty(len(short), _U)
         for i, d in enumerate(short):
             own = hashes[block.first[d] : block.first[d + 1]]
-            value = _U(len(own))
+            value = np.array([len(own)], _U)
             for h in own:
-                value = mix(np.array([value * _U(0xC2B2AE3D27D4EB4F) + h], _U))[0]
-            extra[i] = value
+                value = mix(value * _U(0xC2B2AE3D27D4EB4F) + h)
+            extra[i] = value[0]
         runs = np.insert(runs, bounds[short], extra)
         per_doc = per_doc.copy()
         per_doc[short] = 1
