@@ -45,11 +45,8 @@ def test_rows(counted_bars: DataFrame, plan: FoldPlan) -> DataFrame:
 
 def context_rows(counted_bars: DataFrame, plan: FoldPlan, bars_before: int) -> DataFrame:
     """Test bars with up to so many bars before them; those have negative ``t``. None if 0 or less."""
-    test = test_rows(counted_bars, plan)
     bars_before = min(max(bars_before, 0), plan.train)
-    if not bars_before:
-        return test
-    span = -(-bars_before // plan.test)
-    rows = counted_bars.withColumn("fold", F.explode(F.array(*(F.floor((F.col("i") - plan.train) / plan.test).cast("int") + k for k in range(1, span + 1)))))
-    rows = rows.withColumn("t", F.col("i") - plan.train - F.col("fold") * plan.test)
-    return rows.where((F.col("fold") >= 0) & (F.col("fold") < F.col("nf")) & (F.col("t") < 0) & (F.col("t") >= -bars_before)).unionByName(test)
+    own = F.floor((F.col("i") - plan.train) / plan.test).cast("int")
+    later = -(-bars_before // plan.test)  # folds after its own that a bar can be the context of
+    rows = counted_bars.withColumn("fold", F.explode(F.array(*(own + k for k in range(later + 1))))).withColumn("t", F.col("i") - plan.train - F.col("fold") * plan.test)
+    return rows.where((F.col("fold") >= 0) & (F.col("fold") < F.col("nf")) & (F.col("t") >= -bars_before))

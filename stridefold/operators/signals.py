@@ -30,11 +30,6 @@ def crossings(up: Column, keys: Sequence[str] = KEYS) -> Column:
     return now - F.coalesce(F.lag(now).over(over(keys)), now)
 
 
-def carried(sig: Column, before: Column) -> Column:
-    """At the first test bar, a buy where the indicator already held on the last context bar and nothing crossed."""
-    return F.when((F.col("t") == 0) & before & (sig == 0), 1).otherwise(sig)
-
-
 def bar_return(keys: Sequence[str] = KEYS) -> Column:
     """Simple return to the next bar; 0 where it is not finite, null at the last bar."""
     close = F.col("close").cast("double")
