@@ -16,9 +16,13 @@ YEAR = math.sqrt(config.BARS_PER_YEAR)
 
 
 def equity_returns(executed: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """(keys, t, r): equity returns; the first bar has none."""
+    """(keys, t, ts, r): equity returns; the first bar has none."""
+    return _returned(executed, keys).select(*keys, "t", "ts", "r").where("r is not null")
+
+
+def _returned(executed: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t")
-    return executed.select(*keys, "t", "ts", (F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1).alias("r")).where("r is not null and not isnan(r)")
+    return executed.withColumn("r", F.nanvl(F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(None).cast("double")))
 
 
 def with_drawdown(returns: DataFrame, keys: Sequence[str] = RUN, order: Sequence[str] = ("t",)) -> DataFrame:
@@ -35,12 +39,12 @@ def sharpe(r: Column) -> Column:
 
 def sortino(r: Column) -> Column:
     excess = r - config.RISK_FREE
-    return ratio(F.avg(excess), F.sqrt(F.avg(F.pow(F.least(excess, number(0.0)), 2))), config.FLAT_STD, INF) * YEAR
+    return ratio(F.avg(excess), F.sqrt(F.avg(F.when(excess.isNotNull(), F.pow(F.least(excess, number(0.0)), 2)))), config.FLAT_STD, INF) * YEAR
 
 
 def calmar(r: Column, worst: Column) -> Column:
     """Geometric annual return over the worst fall; ``worst`` is an aggregate over unclipped returns."""
-    annual = F.pow(F.product(1 + F.greatest(r, number(-0.9999))), config.BARS_PER_YEAR / F.count(r)) - 1
+    annual = F.pow(F.product(F.when(r.isNotNull(), 1 + F.greatest(r, number(-0.9999)))), config.BARS_PER_YEAR / F.count(r)) - 1
     return ratio(annual, F.abs(worst), 1e-10, INF)
 
 
@@ -49,8 +53,8 @@ def omega(r: Column, threshold: float = config.RISK_FREE) -> Column:
     return ratio(gains, losses, 1e-10, INF)
 
 
-def return_metrics(returns: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Sharpe, Sortino, drawdown, Calmar and omega per group, and the returns in order for resampling."""
+def return_metrics(returns: DataFrame, keys: Sequence[str] = RUN, *more: Column) -> DataFrame:
+    """Sharpe, Sortino, drawdown, Calmar and omega per group, and the returns in order for resampling. Null returns are passed over."""
     r = F.col("r")
     return with_drawdown(returns, keys).groupBy(*keys).agg(
         sharpe(r).alias("sharpe_ratio"),
@@ -58,7 +62,8 @@ def return_metrics(returns: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
         F.min("dd").alias("max_drawdown"),
         calmar(r, F.min("dd")).alias("calmar_ratio"),
         omega(r).alias("omega_ratio"),
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "r"))), lambda x: x.r).alias("returns"),  # a fold's bars
+        F.transform(F.sort_array(F.collect_list(F.when(r.isNotNull(), F.struct("t", "r")))), lambda x: x.r).alias("returns"),  # a fold's bars
+        *more,
     )
 
 
@@ -74,8 +79,11 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
 def exposure(executed: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Share of bars from entry to exit, both included."""
-    inside = F.col("position") | F.col("exit")
-    return executed.groupBy(*keys).agg(F.avg(inside.cast("double")).alias("exposure_fraction"), F.count("*").alias("n_bars"))
+    return executed.groupBy(*keys).agg(_inside(), F.count("*").alias("n_bars"))
+
+
+def _inside() -> Column:
+    return F.avg((F.col("position") | F.col("exit")).cast("double")).alias("exposure_fraction")
 
 
 #: What a fold without trades counts as.
@@ -87,6 +95,6 @@ def calculate_metrics(executed: DataFrame, trades: DataFrame, keys: Sequence[str
 
     Only finished results stay: NaN is undefined, infinity unbounded, both as doubles.
     """
-    whole = exposure(executed, keys).join(return_metrics(equity_returns(executed, keys), keys), list(keys), "left").join(trade_metrics(trades, keys), list(keys), "left")
+    whole = return_metrics(_returned(executed, keys), keys, _inside()).join(trade_metrics(trades, keys), list(keys), "left")
     idle = F.col("trade_count").isNull()
     return whole.select(*keys, *(F.when(idle, number(v)).otherwise(F.coalesce(F.col(n), number(NAN))).alias(n) for n, v in FLAT.items()), F.coalesce("trade_count", F.lit(0)).alias("trade_count"), idle.alias("flat_cash"), "returns")
