@@ -213,10 +213,13 @@ def near_duplicates(
 
     labelled = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.save(labelled.join(mixed, "key", "left_semi").join(sketches, "id"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
+    step = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    rest = scratch.save(labelled.join(mixed, "key", "left_semi").join(sketches, "id").withColumn("step", step), "rest")
+    # sizes of a link differ by less than one step, so each bucket is parted by step and met by its neighbours
+    near = rest.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    a, b = rest.alias("a"), near.alias("b")
     across = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
         .distinct()
         .join(stars, ["u", "v"], "left_anti")
