@@ -21,7 +21,7 @@ from stridefold.llm.scratch import bounded_batches
 from stridefold.llm.textkernel import Block, blocks, mix
 
 #: Bounds of the labelled rows that the model is fitted on, and of their texts.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2500, 7500, 20_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 5000, 20_000
 BITS, PREFIXES, LEAST_DOCS, LEAST_WORDS = 18, (3, 4, 5, 6), 4, 3
 EPOCHS, BATCH, RATE, DECAY, BIAS = 20, 256, 1.0, 1e-5, -8.0
 
@@ -80,22 +80,24 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
         s, d = sentences(block)
         once = distinct(block, s)
         words.append(features(block)[once].astype(np.int32))
-        sent.append(s[once] + base)
-        bags.append(d + docs)
+        sent.append((s[once] + base).astype(np.int32))
+        bags.append((d + docs).astype(np.int32))
         docs, base = docs + block.docs, base + len(d)
     model = Model(np.zeros(1 << BITS, np.float32), BIAS)
     if not docs or not base or not toxic.any():
         return model
-    words, sent, bags = np.concatenate(words), np.concatenate(sent), np.concatenate(bags)
+    sent, bags = np.concatenate(sent), np.concatenate(bags)
+    words = np.concatenate(words)
     seen = np.zeros(1 << BITS, np.int64)
     doc = bags[sent]
     for j in range(words.shape[1]):
-        pairs = np.unique(doc * (1 << BITS) + words[:, j])
+        pairs = np.unique(doc.astype(np.int64) << BITS | words[:, j])
         seen += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
     used = seen >= LEAST_DOCS
     used[0] = False
-    index = np.cumsum(used)  # 0: unused
-    compact = np.where(used, index, 0)[words]
+    index = np.where(used, np.cumsum(used), 0).astype(np.int32)  # 0: unused
+    compact = index[words]
+    del words
     first_word = np.searchsorted(doc, np.arange(docs + 1))
     w, b = np.zeros(int(used.sum()) + 1), BIAS
     gw, gb = np.full(len(w), 1e-2), 1e-2
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     )
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("id").agg(F.max("toxic").alias("toxic")))  # 10,000 rows at most
+    chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("id").agg(F.max("toxic").alias("toxic")))  # 7,000 rows at most
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .where(F.length("text") <= TRAIN_CHARS)
