@@ -3,22 +3,24 @@
 The tokenizer drops white space before it merges, so a text's ids are the ids
 of its white-space-separated chunks end to end. A chunk of letters and a tail
 of punctuation is in turn the ids of the two, in lower case. Each worker keeps
-the chunks and parts it has met (bounded); new parts go to the tokenizer in one
-text, and the ids that end a word part its answer.
+the ids of chunks it has met in arrays sorted by the chunk's 64-bit hash
+(bounded; the half used last stays), so a block of texts is looked up and put
+together by numpy. New chunks are split into parts, and new parts go to the
+tokenizer in one text, whose answer falls apart at the ids that end a word.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 from operator import add
 
 import numpy as np
 
-KEEP_CHUNKS, KEEP_PARTS = 1_000_000, 800_000
+from stridefold.llm.textkernel import Block
+
+KEEP_CHUNKS, KEEP_PARTS = 1_000_000, 200_000
 #: A chunk's letters (ASCII and U+00C0 to U+00FF) and its tail of ASCII punctuation, or a chunk of another make.
 #: Nothing after such letters can join with them; an apostrophe is left out, as it can begin a contraction.
 _PARTS = re.compile(rb"^((?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+)([!-&(-/:-@\[-`{-~]*+)$|^([^\n]+)$", re.MULTILINE)
@@ -31,8 +33,50 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)} | {32: " "}
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Known:
+    """Ids by hash: parallel arrays in the order of the hashes, and one pool of ids."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled, self.turn = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted hashes are or belong, and which are there."""
+        at = np.searchsorted(self.keys, wanted)
+        there = np.zeros(len(wanted), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == wanted[inside]
+        return at, there
+
+    def insert(self, at: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> None:
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        need = self.filled + int(sizes.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(need, "<u4")])
+        self.pool[self.filled : need] = np.frombuffer(b"".join(ids), "<u4")
+        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, sizes)
+        self.start, self.used = np.insert(self.start, at, self.filled + np.cumsum(sizes) - sizes), np.insert(self.used, at, self.turn)
+        self.filled = need
+
+    def trim(self, most: int) -> None:
+        """Keep the half that was used last, if there are too many."""
+        if len(self.keys) <= most:
+            return
+        kept = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        self.pool = self.pool[_ragged(self.start[kept], self.size[kept])]
+        self.keys, self.size, self.used = self.keys[kept], self.size[kept], self.used[kept]
+        self.start, self.filled = np.cumsum(self.size) - self.size, len(self.pool)
+
+
 class WordEncoder:
-    """bytes of a text -> bytes of its ids (little-endian, unsigned, 32 bits each)."""
+    """bytes of texts -> bytes of their ids (little-endian, unsigned, 32 bits each)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,8 +90,8 @@ class WordEncoder:
         self.words = Tokenizer(self.model.model)  # its merges alone, for words that need no normalising or splitting
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.visible = _visible()
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.known = Known()
+        self.parts: dict[bytes, bytes] = {}
 
     def _each(self, words: list[bytes]) -> list[bytes]:
         done = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -63,43 +107,41 @@ class WordEncoder:
         raw, cuts = ids.tobytes(), (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) + len(chunks) > KEEP_CHUNKS:
-            self.chunks = {}
-        if len(self.parts) + len(chunks) > KEEP_PARTS:
-            self.parts = {b"": b""}
-        order = list(chunks)
-        cores, tails, others = zip(*_PARTS.findall(b"\n".join(order).lower()))
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks not met before."""
+        cores, tails, others = zip(*_PARTS.findall(b"\n".join(chunks).lower()))
+        if len(self.parts) > KEEP_PARTS:
+            self.parts = {}
+        self.parts[b""] = b""
         fresh = list(set(cores).union(tails).difference(self.parts))
         if fresh:
             self.parts.update(zip(fresh, self._together(fresh)))
         part = self.parts.__getitem__
-        self.chunks.update(zip(order, map(add, map(part, cores), map(part, tails))))
-        if any(others):
-            other = [chunk for chunk, o in zip(order, others) if o]
-            self.chunks.update(zip(other, self._each(other)))
+        ids = list(map(add, map(part, cores), map(part, tails)))
+        other = [i for i, o in enumerate(others) if o]
+        for i, x in zip(other, self._each([chunks[i] for i in other]) if other else ()):
+            ids[i] = x
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        gc.disable()  # millions of plain bytes objects and no cycle: scanning them is lost time
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        ids = list(map(self.chunks.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            self._learn({words[i] for i in missing})
-            for i in missing:
-                ids[i] = self.chunks[words[i]]
-        out, at = [], 0
-        for own in split:
-            out.append(b"".join(ids[at : at + len(own)]))
-            at += len(own)
-        return out
+        raw = b"".join(texts)
+        offsets = np.cumsum([0, *map(len, texts)])
+        block = Block(np.frombuffer(raw, np.uint8), offsets, 0, len(texts))
+        keys, first, word = np.unique(block.words(), return_index=True, return_inverse=True)
+        known = self.known
+        known.trim(KEEP_CHUNKS)
+        known.turn += 1
+        at, there = known.find(keys)
+        fresh = np.flatnonzero(~there)
+        if len(fresh):
+            spans = zip(block.start[first[fresh]].tolist(), block.end[first[fresh]].tolist())
+            known.insert(at[fresh], keys[fresh], self._learn([raw[a:b] for a, b in spans]))
+            at = at + np.cumsum(~there) - ~there  # moved by what came in before
+        known.used[at] = known.turn
+        sizes = known.size[at][word]
+        ids = known.pool[_ragged(known.start[at][word], sizes)].tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(sizes)])[block.first]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(2)

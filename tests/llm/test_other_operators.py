@@ -73,17 +73,16 @@ def test_encoders_on_any_text(text):
     assert ids_of(merge_replay(BYTE_BPE, P.PATTERN).encode([text])[0]) == byte.encode_ordinary(text)
 
 
-def test_word_encoder_generations(word_model):
+def test_word_encoder_forgets_safely(word_model, monkeypatch):
     import stridefold.llm.wordbpe as w
 
-    encoder, keep = WordEncoder(WORD_BPE), w.KEEP
-    try:
-        w.KEEP = 5
-        for _ in range(3):
-            for t in ("the quick brown fox, jumped!", "over 12 lazy Dogs: the quick", "the end."):
-                assert ids_of(encoder.encode([t.encode()])[0]) == word_model.encode(t, add_special_tokens=False).ids
-    finally:
-        w.KEEP = keep
+    monkeypatch.setattr(w, "KEEP_CHUNKS", 6)
+    monkeypatch.setattr(w, "KEEP_PARTS", 5)
+    encoder = WordEncoder(WORD_BPE)
+    for _ in range(4):
+        for t in ("the quick brown fox, jumped!", "over 12 lazy Dogs: the quick", "the end.", "", "don't the the"):
+            assert ids_of(encoder.encode([t.encode(), b"the"])[0]) == word_model.encode(t, add_special_tokens=False).ids
+        assert len(encoder.known.keys) <= 6 + 6
 
 
 def test_packing_is_whole(documents, word_model, odd, empty, spark):
