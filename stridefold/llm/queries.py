@@ -98,6 +98,28 @@ QUERIES = {
 
 #: SQL that gives the same rows, where SQL can.
 ORACLE_SQL = {
+    "op1_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sized AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS digest FROM sets
+), members AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sized a ON a.doc_id = u JOIN sized b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS x FROM documents UNION SELECT r.doc_id, e.v FROM reached r JOIN both_ways e ON r.x = e.u
+), roots AS (
+  SELECT doc_id, min(x) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, n AS n_shingles, CASE WHEN n > 0 THEN min(doc_id) OVER (PARTITION BY digest) ELSE doc_id END AS class_id, component_id, doc_id = component_id AS kept FROM sized JOIN roots USING (doc_id)
+""",
     "op3_ball_tree": """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
