@@ -161,6 +161,16 @@ def test_top_k_by_sql_and_in_small_shards(spark, small):
         assert sorted(tuple(r) for r in top_k(vectors, **how).collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["op1_minhash", "op5_quality", "op9_chat"])
+def test_queries_by_sql(spark, small, name):
+    duck = duckdb.connect()
+    for t in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    frame = duck.execute(queries.ORACLE_SQL[name]).df()
+    rows = queries.QUERIES[name](spark, small).select(*frame.columns).collect()
+    assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, frame.itertuples(index=False, name=None)))
+
+
 def test_ball_tree_prunes_and_is_exact():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 500, (30, 16))
