@@ -20,7 +20,7 @@ import numpy as np
 
 from stridefold.llm.textkernel import Block
 
-KEEP_CHUNKS, KEEP_PARTS = 1_000_000, 200_000
+KEEP_CHUNKS, KEEP_PARTS = 400_000, 100_000
 #: A chunk's letters (ASCII and U+00C0 to U+00FF) and its tail of ASCII punctuation, or a chunk of another make.
 #: Nothing after such letters can join with them; an apostrophe is left out, as it can begin a contraction.
 _PARTS = re.compile(rb"^((?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+)([!-&(-/:-@\[-`{-~]*+)$|^([^\n]+)$", re.MULTILINE)
