@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from conftest import SMALL
+from helpers import SMALL
 from stridefold.plans.catalogue import QUERIES, flagship
 from stridefold.plans.catalogue_sql import SQL
 
