@@ -1,18 +1,22 @@
 """Masked pseudo-likelihood scores by a bidirectional window network in numpy.
 
 Every word of a text is predicted from the words on both sides of it. The
-vocabulary is the most frequent words of the whole corpus; all other words fall
-into hashed buckets. The network sums scaled embeddings of the context words,
-and its output is factored: first a class, then a member of the class. Each
-task of a round takes gradient steps on a fixed share of the windows of each of
-its documents, from the same weights; the round's weights are the mean over
-tasks, weighted by their windows and summed by Spark per weight. A document's
-score is the sum of the conditional log-probabilities of all its words.
+vocabulary is the words that occur often enough in the whole corpus, so that it
+grows with it; all other words fall into hashed buckets, and a word of a bucket
+has its share of the bucket's occurrences as a further factor. The network sums
+scaled embeddings of the context words, and its output is factored: first a
+class, then a member of the class, about the square root of the symbols each.
+Each task of a round takes gradient steps on a fixed share of the windows of
+each of its documents, from the same weights; the round's weights are the mean
+over tasks, weighted by their windows and summed by Spark per changed weight. A
+document's score is the sum of the conditional log-probabilities of all its words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +26,39 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import Scratch, bounded_batches
 from stridefold.llm.textkernel import Block, blocks
 
-CLASSES, MEMBERS, BUCKETS = 32, 32, 256
-VOCABULARY = CLASSES * MEMBERS - BUCKETS
+#: The least size of the network; every word of FLOOR occurrences or more is a symbol, and of rarer ones the most frequent while there is room.
+CLASSES, MEMBERS, BUCKETS, FLOOR = 32, 32, 256, 1000
+#: About so many words have their counts broadcast; the counts of the others are joined from the table.
+KEEP = 1 << 18
 WIDTH, OFFSETS = 16, (-2, -1, 1, 2)
 EVERY, BATCH, RATE, ROUNDS = 4, 4096, 0.05, 2
 SYMBOLS = CLASSES * MEMBERS
-SHAPES = {
-    "embedding": (SYMBOLS + 1, WIDTH),  # the last row stands for what is beyond the text
-    "scale": (len(OFFSETS), WIDTH),
-    "hidden": (WIDTH,),
-    "class_weight": (WIDTH, CLASSES),
-    "class_bias": (CLASSES,),
-    "member_weight": (WIDTH, MEMBERS),
-    "member_bias": (CLASSES, MEMBERS),
-}
 Weights = dict[str, np.ndarray]
 
 
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """Of a network of side * side symbols."""
+    return {
+        "embedding": (side * side + 1, WIDTH),  # the last row stands for what is beyond the text
+        "scale": (len(OFFSETS), WIDTH),
+        "hidden": (WIDTH,),
+        "class_weight": (WIDTH, side),
+        "class_bias": (side,),
+        "member_weight": (WIDTH, side),
+        "member_bias": (side, side),
+    }
+
+
+SHAPES = shapes(CLASSES)
+
+
 def flat(weights: Weights) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
-def shaped(values: np.ndarray) -> Weights:
+def shaped(values: np.ndarray, side: int) -> Weights:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(side).items():
         n = int(np.prod(shape))
         out[name] = np.array(values[at : at + n], np.float32).reshape(shape)
         at += n
@@ -54,42 +67,46 @@ def shaped(values: np.ndarray) -> Weights:
 
 def initial(counts: np.ndarray, seed: int = 1) -> Weights:
     """Small random weights; the biases give the corpus's own frequencies."""
-    rng = np.random.default_rng(seed)
-    out = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in SHAPES.items()}
-    out["scale"] = np.ones(SHAPES["scale"], np.float32)
+    rng, side = np.random.default_rng(seed), math.isqrt(len(counts))
+    out = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in shapes(side).items()}
+    out["scale"][:] = 1
     out["hidden"][:] = 0
-    share = (counts + 1.0).reshape(CLASSES, MEMBERS)
+    share = (counts + 1.0).reshape(side, side)
     out["class_bias"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
     out["member_bias"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return out
 
 
 class Vocabulary:
-    """Symbols of word hashes: the frequent words by rank, then buckets."""
+    """Symbols of word hashes: the frequent words by rank, then buckets at the end."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, side: int):
         self.order = np.argsort(words)
         self.sorted = words[self.order]
+        self.beyond = side * side
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each word, -1 where there is none."""
+        if not len(self.sorted):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        out = VOCABULARY + (hashes % np.uint64(BUCKETS)).astype(np.int64)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            known = self.sorted[at] == hashes
-            out[known] = self.order[at[known]]
-        return out
+        rank = self.find(hashes)
+        return np.where(rank >= 0, rank, self.beyond - BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
 
 
-def contexts(block: Block, symbols: np.ndarray) -> np.ndarray:
-    """The symbols at each offset from each word; SYMBOLS beyond the text's ends."""
+def contexts(block: Block, symbols: np.ndarray, beyond: int) -> np.ndarray:
+    """The symbols at each offset from each word; ``beyond`` outside the text."""
     n = len(symbols)
     doc = block.doc_of_word()
-    out = np.full((n, len(OFFSETS)), SYMBOLS, np.int64)
+    out = np.full((n, len(OFFSETS)), beyond, np.int64)
     for j, o in enumerate(OFFSETS):
         if abs(o) < n:
             here = slice(max(0, -o), n - max(0, o))
             there = slice(max(0, o), n - max(0, -o))
-            out[here, j] = np.where(doc[here] == doc[there], symbols[there], SYMBOLS)
+            out[here, j] = np.where(doc[here] == doc[there], symbols[there], beyond)
     return out
 
 
@@ -101,9 +118,10 @@ def forward(w: Weights, context: np.ndarray, target: np.ndarray):
     """
     h = np.zeros((len(target), WIDTH), np.float32) + w["hidden"]
     for j in range(len(OFFSETS)):
-        h += (w["embedding"] * w["scale"][j])[context[:, j]]
+        h += w["embedding"][context[:, j]] * w["scale"][j]
     np.tanh(h, out=h)
-    c, m = target // MEMBERS, target % MEMBERS
+    classes, members = w["member_bias"].shape
+    c, m = target // members, target % members
     first = h @ w["class_weight"] + w["class_bias"]
     second = h @ w["member_weight"]
     rows = np.arange(len(target))
@@ -111,7 +129,7 @@ def forward(w: Weights, context: np.ndarray, target: np.ndarray):
     np.exp(np.minimum(first, 60, out=first), out=first)
     np.exp(np.minimum(second, 60, out=second), out=second)
     prior = np.exp(w["member_bias"])[c]
-    sum1, sum2 = first @ np.ones(CLASSES, np.float32), np.einsum("bk,bk->b", second, prior)
+    sum1, sum2 = first @ np.ones(classes, np.float32), np.einsum("bk,bk->b", second, prior)
     return h, c, m, first / sum1[:, None], (second, prior, sum2), picked - np.log(sum1) - np.log(sum2)
 
 
@@ -128,23 +146,27 @@ def step(w: Weights, squares: Weights, context: np.ndarray, target: np.ndarray)
     dm[rows, m] -= 1
     dc, dm = dc / n, dm / n
     dh = (dc @ w["class_weight"].T + dm @ w["member_weight"].T) * (1 - h * h)
-    embedding, scale = np.zeros(SHAPES["embedding"], np.float32), np.zeros(SHAPES["scale"], np.float32)
-    for j in range(len(OFFSETS)):
-        into = np.stack([np.bincount(context[:, j], dh[:, k], SYMBOLS + 1) for k in range(WIDTH)], 1)
-        embedding += into * w["scale"][j]
-        scale[j] = (into * w["embedding"]).sum(0)
+    # gradients of the embeddings and classes that the batch has
+    seen = np.zeros(len(w["embedding"]), bool)
+    seen[context] = True
+    symbols = np.flatnonzero(seen)
+    place = np.cumsum(seen)[context].ravel() - 1
+    embedding = np.stack([np.bincount(place, np.outer(dh[:, k], w["scale"][:, k]).ravel(), len(symbols)) for k in range(WIDTH)], 1)
+    scale = np.stack([(dh * w["embedding"][context[:, j]]).sum(0) for j in range(len(OFFSETS))])
+    order = np.argsort(c, kind="stable")
+    some, first = np.unique(c[order], return_index=True)
     gradients = {
-        "embedding": embedding,
-        "scale": scale,
-        "hidden": dh.sum(0),
-        "class_weight": h.T @ dc,
-        "class_bias": dc.sum(0),
-        "member_weight": h.T @ dm,
-        "member_bias": np.stack([np.bincount(c, dm[:, k], CLASSES) for k in range(MEMBERS)], 1),
+        "embedding": (symbols, embedding),
+        "scale": (slice(None), scale),
+        "hidden": (slice(None), dh.sum(0)),
+        "class_weight": (slice(None), h.T @ dc),
+        "class_bias": (slice(None), dc.sum(0)),
+        "member_weight": (slice(None), h.T @ dm),
+        "member_bias": (some, np.add.reduceat(dm[order], first, 0)),
     }
-    for name, g in gradients.items():
-        squares[name] += (g * g).astype(np.float32)
-        w[name] -= (RATE * g / np.sqrt(squares[name] + 1e-8)).astype(np.float32)
+    for name, (at, g) in gradients.items():
+        squares[name][at] += (g * g).astype(np.float32)
+        w[name][at] -= (RATE * g / np.sqrt(squares[name][at] + 1e-8)).astype(np.float32)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,28 +176,48 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def gather(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words (ties by hash), and the counts of all symbols, over the whole corpus."""
-    counts = scratch.save(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()  # VOCABULARY rows at most
-    words = top["word"].to_numpy(np.int64).view(np.uint64)
-    sizes = np.zeros(SYMBOLS)
-    sizes[: len(top)] = top["n"]
-    rest = counts.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    sizes[VOCABULARY + rest["bucket"].to_numpy(np.int64)] += rest["n"].to_numpy(np.float64)
-    np.subtract.at(sizes, VOCABULARY + (words % np.uint64(BUCKETS)).astype(np.int64), top["n"].to_numpy(np.float64))
-    scratch.drop("counts")
-    return words, sizes
+@dataclass
+class Counts:
+    words: np.ndarray  # hashes of the words whose counts are held here, most frequent first (ties by hash)
+    counts: np.ndarray
+    vocabulary: int  # so many of them are symbols
+    sizes: np.ndarray  # occurrences of each symbol
+    rare: DataFrame | None  # word, n of all others
+
+    @property
+    def side(self) -> int:
+        return math.isqrt(len(self.sizes))
+
+
+def gather(texts: DataFrame, scratch: Scratch) -> Counts:
+    """Counts of all words of the whole corpus; the words of FLOOR occurrences or more are always among those held."""
+    table = scratch.save(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    sizes = table.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)  # a row for each count that occurs
+    held = sizes["n"][(sizes["words"].cumsum() <= KEEP) | (sizes["n"] >= FLOOR)]
+    least = int(held.min()) if len(held) else 1
+    top = table.where(F.col("n") >= least).toArrow()
+    words, counts = (top.column(k).to_numpy() for k in ("word", "n"))
+    order = np.lexsort((words, -counts))
+    words, counts = words[order].view(np.uint64), counts[order]
+    side = max(CLASSES, math.isqrt(int((counts >= FLOOR).sum()) + BUCKETS - 1) + 1)
+    known = min(len(words), side * side - BUCKETS)
+    sizes_of = np.zeros(side * side)
+    sizes_of[:known] = counts[:known]
+    start = side * side - BUCKETS
+    rest = table.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    sizes_of[start + rest["bucket"].to_numpy(np.int64)] += rest["n"].to_numpy(np.float64)
+    np.subtract.at(sizes_of, start + (words[:known] % np.uint64(BUCKETS)).astype(np.int64), counts[:known].astype(np.float64))
+    return Counts(words, counts, known, sizes_of, table.where(F.col("n") < least) if len(held) < len(sizes) else None)
 
 
 def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = ROUNDS) -> Weights:
-    spark = texts.sparkSession
+    spark, side = texts.sparkSession, len(weights["class_bias"])
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast((words, flat(weights)))  # fixed size: about 20,000 floats
+        start = spark.sparkContext.broadcast((words, flat(weights)))  # about 17 floats a symbol
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
             words, values = start.value
-            vocabulary, w = Vocabulary(words), shaped(values)
+            vocabulary, w = Vocabulary(words, side), shaped(values, side)
             squares = {k: np.zeros_like(v) for k, v in w.items()}
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = windows = 0
@@ -184,7 +226,7 @@ def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = R
                     symbols = vocabulary.symbols(block.words())
                     within = np.arange(len(symbols)) - np.repeat(block.first[:-1], block.count)
                     chosen = np.flatnonzero((within + turn) % EVERY == 0)
-                    held.append((contexts(block, symbols)[chosen], symbols[chosen]))
+                    held.append((contexts(block, symbols, vocabulary.beyond)[chosen], symbols[chosen]))
                     size += len(chosen)
                     if size >= BATCH:
                         context, target = (np.concatenate(x) for x in zip(*held))
@@ -196,24 +238,34 @@ def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = R
                 step(w, squares, *(np.concatenate(x) for x in zip(*held)))
                 windows += size
             if windows:
-                out = flat(w).astype(np.float64) * windows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out), pa.array(np.full(len(out), windows, np.float64))], ["i", "total", "weight"])
-
-        mean = texts.mapInArrow(run, "i long, total double, weight double").groupBy("i").agg((F.sum("total") / F.sum("weight")).alias("v")).toPandas()
-        if len(mean):
-            values = flat(weights)
-            values[mean["i"].to_numpy(np.int64)] = mean["v"].to_numpy(np.float32)
-            weights = shaped(values)
+                moved = flat(w).astype(np.float64) - values
+                at = np.flatnonzero(moved)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * windows, windows))], ["i", "total"])
+
+        sums = texts.mapInArrow(run, "i long, total double").groupBy("i").agg(F.sum("total").alias("total")).toPandas()
+        if len(sums):
+            at, total = sums["i"].to_numpy(np.int64), sums["total"].to_numpy(np.float64)
+            values = flat(weights).astype(np.float64)
+            values[at[at >= 0]] += total[at >= 0] / total[at < 0]
+            weights = shaped(values, side)
     return weights
 
 
-def block_scores(w: Weights, vocabulary: Vocabulary, block: Block) -> np.ndarray:
-    symbols = vocabulary.symbols(block.words())
-    context = contexts(block, symbols)
+def block_scores(w: Weights, held: Vocabulary, log_counts: np.ndarray, known: int, log_sizes: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The score of each text but for the log counts of the words that are not held, and where and what those are."""
+    hashes = block.words()
+    rank = held.find(hashes)
+    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    inside = (rank >= 0) & (rank < known)
+    symbols = np.where(inside, rank, held.beyond - BUCKETS + bucket)
+    context = contexts(block, symbols, held.beyond)
     each = np.zeros(len(symbols))
     for at in range(0, len(symbols), BATCH):
         each[at : at + BATCH] = log_probs(w, context[at : at + BATCH], symbols[at : at + BATCH])
-    return np.bincount(block.doc_of_word(), each, block.docs)
+    each[~inside] -= log_sizes[bucket[~inside]]
+    counted = ~inside & (rank >= 0)
+    each[counted] += log_counts[rank[counted]]
+    return np.bincount(block.doc_of_word(), each, block.docs), np.flatnonzero(rank < 0), hashes[rank < 0]
 
 
 def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -226,17 +278,33 @@ def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words, sizes = gather(rows.select("text"), Scratch(spark, "lm"))
-    weights = train(rows.select("text"), words, initial(sizes), rounds)
-    model = spark.sparkContext.broadcast((words, flat(weights)))
+    scratch = Scratch(spark, "lm")
+    corpus = gather(rows.select("text"), scratch)
+    side, known = corpus.side, corpus.vocabulary
+    weights = train(rows.select("text"), corpus.words[:known], initial(corpus.sizes), rounds)
+    # one occurrence of each bucket is left to words that the corpus does not have
+    model = spark.sparkContext.broadcast((corpus.words, np.log(corpus.counts).astype(np.float32), np.log1p(corpus.sizes[-BUCKETS:]), flat(weights)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, values = model.value
-        vocabulary, w = Vocabulary(words), shaped(values)
+        words, log_counts, log_sizes, values = model.value
+        held, w = Vocabulary(words, side), shaped(values, side)
         for batch in batches:
             for block in blocks(batch.column(1), True):
+                score, rare, others = block_scores(w, held, log_counts, known, log_sizes, block)
+                first = np.searchsorted(rare, block.first).astype(np.int32)
+                missing = pa.ListArray.from_arrays(pa.array(first), pa.array(others.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.docs), pa.array(block.count.astype(np.int64)), pa.array(block_scores(w, vocabulary, block))], ["doc_id", "n_words", "log_prob"]
+                    [batch.column(0).slice(block.lo, block.docs), pa.array(block.count.astype(np.int64)), pa.array(score), batch.column(2).slice(block.lo, block.docs), missing],
+                    ["doc_id", "n_words", "log_prob", "key", "rare"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_prob double").withColumn("mean_log_prob", F.try_divide("log_prob", "n_words"))
+    rows = rows.withColumn("key", F.monotonically_increasing_id())
+    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_prob double, key long, rare array<long>")
+    if corpus.rare is not None:
+        scored = scratch.save(scored, "scored")
+        terms = scored.select("key", F.explode("rare").alias("word")).join(corpus.rare, "word", "left")
+        terms = terms.groupBy("key").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("term"))
+        scored = scored.join(terms, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("term", F.lit(0.0)))
+    else:
+        scratch.drop("counts")
+    return scored.select("doc_id", "n_words", "log_prob", F.try_divide("log_prob", "n_words").alias("mean_log_prob"))

@@ -249,6 +249,34 @@ def test_lm_prefers_text_in_order(spark):
     assert all(r.log_prob == pytest.approx(r.mean_log_prob * r.n_words) and r.n_words == 60 for r in rows.values())
 
 
+def one_word_texts(spark):
+    """Texts of one word each: word i of 3,000 occurs 1 + i % 7 times, some without an id."""
+    rows = [(None if i % 5 == 0 else 10 * i + k, f"w{i}") for i in range(3000) for k in range(1 + i % 7)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_lm_probabilities_of_all_words(spark, monkeypatch):
+    """Over all words they are at most 1, and of words of one bucket the more frequent one is more probable."""
+    docs = one_word_texts(spark)
+    rows = lm.pseudo_likelihood(docs, rounds=0).collect()
+    assert len(rows) == docs.count()
+    own = {10 * i: 1 + i % 7 for i in range(3000) if i % 5}
+    score = {r.doc_id: r.log_prob for r in rows if r.doc_id in own}
+    assert 0.5 < sum(map(np.exp, score.values())) < 1
+    by_count = [np.mean([score[d] for d in own if own[d] == n]) for n in range(1, 7)]
+    assert by_count == sorted(by_count)
+    monkeypatch.setattr(lm, "KEEP", 1000)  # the counts of the others are joined
+    again = lm.pseudo_likelihood(docs, rounds=0).collect()
+    assert sorted(r.log_prob for r in again) == pytest.approx(sorted(r.log_prob for r in rows), abs=1e-5)
+
+
+def test_lm_vocabulary_grows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FLOOR", 3)
+    found = lm.gather(one_word_texts(spark).select("text"), Scratch(spark, "t"))
+    assert found.vocabulary >= sum(1 + i % 7 >= 3 for i in range(3000)) and found.sizes.sum() == sum(1 + i % 7 for i in range(3000))
+    assert lm.pseudo_likelihood(one_word_texts(spark)).where("log_prob < 0").count() == found.sizes.sum()
+
+
 def test_lm_of_odd_rows(odd, empty):
     rows = lm.pseudo_likelihood(odd).collect()
     assert len(rows) == odd.count() and all(r.log_prob == 0 and r.mean_log_prob is None for r in rows if r.doc_id in (4, 5, 6))
