@@ -6,8 +6,8 @@ grows with it; all other words fall into hashed buckets, and a word of a bucket
 has its share of the bucket's occurrences as a further factor. The network sums
 scaled embeddings of the context words, and its output is factored: first a
 class, then a member of the class, about the square root of the symbols each.
-Each task of a round takes gradient steps on a fixed share of the windows of
-each of its documents, from the same weights; the round's weights are the mean
+Each task of a round takes gradient steps on all windows of its documents, from
+the same weights; the round's weights are the mean
 over tasks, weighted by their windows and summed by Spark per changed weight. A
 document's score is the sum of the conditional log-probabilities of all its words.
 """
@@ -31,7 +31,7 @@ CLASSES, MEMBERS, BUCKETS, FLOOR = 32, 32, 256, 1000
 #: About so many words have their counts broadcast; the counts of the others are joined from the table.
 KEEP = 1 << 18
 WIDTH, OFFSETS = 16, (-2, -1, 1, 2)
-EVERY, BATCH, RATE, ROUNDS = 4, 4096, 0.05, 2
+BATCH, RATE, ROUNDS = 4096, 0.05, 2
 SYMBOLS = CLASSES * MEMBERS
 Weights = dict[str, np.ndarray]
 
@@ -212,10 +212,10 @@ def gather(texts: DataFrame, scratch: Scratch) -> Counts:
 
 def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = ROUNDS) -> Weights:
     spark, side = texts.sparkSession, len(weights["class_bias"])
-    for turn in range(rounds):
+    for _ in range(rounds):
         start = spark.sparkContext.broadcast((words, flat(weights)))  # about 17 floats a symbol
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             words, values = start.value
             vocabulary, w = Vocabulary(words, side), shaped(values, side)
             squares = {k: np.zeros_like(v) for k, v in w.items()}
@@ -224,10 +224,8 @@ def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = R
             for batch in batches:
                 for block in blocks(batch.column(0), True):
                     symbols = vocabulary.symbols(block.words())
-                    within = np.arange(len(symbols)) - np.repeat(block.first[:-1], block.count)
-                    chosen = np.flatnonzero((within + turn) % EVERY == 0)
-                    held.append((contexts(block, symbols, vocabulary.beyond)[chosen], symbols[chosen]))
-                    size += len(chosen)
+                    held.append((contexts(block, symbols, vocabulary.beyond), symbols))
+                    size += len(symbols)
                     if size >= BATCH:
                         context, target = (np.concatenate(x) for x in zip(*held))
                         whole = size - size % BATCH

@@ -277,6 +277,18 @@ def test_lm_vocabulary_grows(spark, monkeypatch):
     assert lm.pseudo_likelihood(one_word_texts(spark)).where("log_prob < 0").count() == found.sizes.sum()
 
 
+def test_lm_trains_on_every_word(spark):
+    """Records of four words: each of the four places is learned as a target."""
+    text = "one two three four"
+    docs = spark.createDataFrame([(text,)] * 2000, "text string")
+    block = next(blocks(pa.array([text]), True))
+    words, places = block.words(), np.arange(4)
+    before = lm.initial(np.zeros(lm.SYMBOLS))
+    after = lm.train(docs, words, before)
+    context = lm.contexts(block, places, lm.SYMBOLS)
+    assert (lm.log_probs(after, context, places) > lm.log_probs(before, context, places) + 0.2).all()
+
+
 def test_lm_of_odd_rows(odd, empty):
     rows = lm.pseudo_likelihood(odd).collect()
     assert len(rows) == odd.count() and all(r.log_prob == 0 and r.mean_log_prob is None for r in rows if r.doc_id in (4, 5, 6))
