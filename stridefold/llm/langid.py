@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import bounded_batches
 from stridefold.llm.textkernel import Block, blocks, mix
 
-#: Expected rows that the filters are filled from: of each language, of all, and the longest of their texts.
-ROWS_PER_LANGUAGE, TRAIN_ROWS, TRAIN_CHARS = 1500, 12_000, 20_000
-#: So many languages are learned, the most frequent ones.
-LANGUAGES = 256
+#: Expected rows that the filters are filled from: of each language, of all, of each at least, and the most characters of a text.
+ROWS_PER_LANGUAGE, TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS = 1500, 12_000, 20, 20_000
 GRAM, HASHES, SLOT_BITS, LEAST_COUNT, SHARE = 4, 3, 20, 3, 0.25
 _U = np.uint64
 _GAP = np.ones(256, bool)
@@ -86,20 +84,21 @@ def fill(samples: dict[str, pa.Array]) -> Filters:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filters:
     """Fill from about ROWS_PER_LANGUAGE rows a language, chosen by a hash of the id.
 
-    Rows of all languages are about TRAIN_ROWS at most, of up to LANGUAGES languages.
-    Only rows with a language count, and only where crc32 of the id, as text, is
-    not 2 modulo 4. Longer texts than TRAIN_CHARS characters are left out here,
-    never of prediction.
+    Every language that occurs is learned. Rows of all languages are about
+    TRAIN_ROWS at most, or LEAST_ROWS of each where there are many. Only rows with
+    a language count, and only where crc32 of the id, as text, is not 2 modulo 4.
+    Of longer texts than TRAIN_CHARS characters, so many are read here, from a
+    place that a hash of the id gives; prediction reads all.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and id is not null and text is not null").where(F.crc32(F.col("id").cast("string")) % 4 != 2)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    each = min(ROWS_PER_LANGUAGE, TRAIN_ROWS // max(1, sizes.count()))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, TRAIN_ROWS // max(1, sizes.count())))
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
     chosen = (
-        rows.where(F.length("text") <= TRAIN_CHARS)
-        .join(F.broadcast(sizes), "lang")
+        rows.join(F.broadcast(sizes), "lang")
         .where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < each * (1 << 30))
-        .select("lang", "text")
+        .select("lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
         .toArrow()
     )
     langs = np.array(chosen.column("lang").to_pylist(), object)

@@ -209,6 +209,19 @@ def test_more_than_64_languages_and_no_false_negatives():
         assert learned.languages[int(count[0].argmax())] == name and count[0].max() == pytest.approx(n[0], rel=0.05)
 
 
+def test_every_language_is_learned(spark):
+    """More than 256 languages, and one that has long texts only."""
+    code = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(270)]
+    rows = [(100 * i + k, f"{c}zq{c} " * 5, f"l{c}") for i, c in enumerate(code) for k in range(12)]
+    rows += [(10**6 + k, "wonder jumbo " * 3000, "long") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.train(docs)
+    assert set(learned.languages) == {r[2] for r in rows}
+    ask = docs.where("doc_id % 100 = 0 or lang = 'long'")
+    got = langid.identify(ask, learned).join(ask.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 282 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_lm_matches_plain_softmax():
     rng = np.random.default_rng(0)
     w = lm.initial(rng.integers(1, 100, lm.SYMBOLS).astype(float))
