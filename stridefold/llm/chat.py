@@ -123,7 +123,8 @@ def digests(conversations: DataFrame) -> DataFrame:
     ).select("x.*")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).unionByName(probe)
     chats = format_chats(rows)
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x.role == "assistant"), lambda x: x.text), "")
+    under = lambda x: F.substr(F.col("formatted"), (x.start + 1).cast("int"), x.length.cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda x: unescape(under(x))), "")
     return chats.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -244,6 +244,16 @@ def test_chat_digests(spark, small):
             assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(loss), brute.sha(loss))
 
 
+def test_chat_digests_read_the_mask(spark, monkeypatch):
+    """A mask that is off by one shows in the digest."""
+    rows = chats(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "abc")])
+    right = {r.conv_id: r.loss_sha256 for r in digests(rows).collect()}
+    shifted = F.transform("loss_spans", lambda x: F.struct((x.start + 1).alias("start"), x.length.alias("length")))
+    monkeypatch.setattr("stridefold.llm.chat.format_chats", lambda c: format_chats(c).withColumn("loss_spans", shifted))
+    wrong = {r.conv_id: r.loss_sha256 for r in digests(rows).collect()}
+    assert right[1] == brute.sha("abc") and wrong[1] == brute.sha("bc<")
+
+
 def counted(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, version string, source string, lang string, n_tokens long")
 
