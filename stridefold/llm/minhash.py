@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,10 +93,10 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int64)))
 
 
-def _signatures(shingle: int, bands: int, rows: int, lower: bool):
+def _signatures(shingle: int, bands: int, rows: int, lower: bool, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), lower):
+            for block in blocks(batch.column(1), lower, seed=seed):
                 sets, bounds = shingle_sets(block, shingle)
                 digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
                 keys = band_keys(one_permutation(sets, bounds, bands * rows), bands, rows)
@@ -113,10 +114,10 @@ def _signatures(shingle: int, bands: int, rows: int, lower: bool):
     return run
 
 
-def _set_rows(shingle: int, lower: bool):
+def _set_rows(shingle: int, lower: bool, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), lower):
+            for block in blocks(batch.column(1), lower, seed=seed):
                 sets, bounds = shingle_sets(block, shingle)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.lo, block.docs), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
@@ -169,10 +170,11 @@ def near_duplicates(
     spark = docs.sparkSession
     bounded_batches(spark)
     bands = bands or bands_for(percent, rows)
+    seed = secrets.randbits(64)  # of the shingles' hashes: no text can be made to collide
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(
-        texts.mapInArrow(_signatures(shingle, bands, rows, lower), "id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed"
+        texts.mapInArrow(_signatures(shingle, bands, rows, lower, seed), "id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed"
     )
     alive = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = scratch.save(signed.where(alive).groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
@@ -190,7 +192,7 @@ def near_duplicates(
         """Those of the pairs that are links, by their full sets."""
         ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(_set_rows(shingle, lower), "id long, members binary"), f"{name}-sets")
+        sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(_set_rows(shingle, lower, seed), "id long, members binary"), f"{name}-sets")
         both = (
             pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u")
             .join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")

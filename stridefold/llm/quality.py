@@ -80,18 +80,24 @@ def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _dup_lines(block: Block) -> np.ndarray:
     doc, start, end = _lines(block)
-    value = block.hashes(start, end)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    again = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
+    line, _ = block.identities(start, end)
+    order = np.lexsort((line, doc))
+    doc, line = doc[order], line[order]
+    again = (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
     return np.bincount(doc[1:][again], minlength=block.docs)
 
 
 def _repeat_words(block: Block, k: int = 3) -> np.ndarray:
     """Words inside windows of k words that the document holds twice or more."""
-    runs, per_doc = block.windows(block.words(), k)
+    word, kinds = block.identities(block.start, block.end)
+    per_doc = np.maximum(block.count - k + 1, 0)
     doc = np.repeat(np.arange(block.docs), per_doc)
-    first = block.first[:-1][doc] + np.arange(len(runs)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    first = block.first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    runs = word[first]
+    for j in range(1, k):  # pairs of numbers, numbered anew before they could overflow
+        if j > 1 and kinds ** (j + 1) >= 2**63:
+            runs = np.unique(runs, return_inverse=True)[1]
+        runs = runs * kinds + word[first + j]
     order = np.lexsort((runs, doc))
     same = (doc[order][1:] == doc[order][:-1]) & (runs[order][1:] == runs[order][:-1])
     twice = np.zeros(len(runs), bool)

@@ -1,14 +1,19 @@
 """Numpy text kernel shared by the word-based operators.
 
 It works straight on the byte buffers of Arrow string columns: one pass finds
-words (maximal runs of bytes other than ASCII white space), and prefix sums of
-``byte value * BASE**position`` (mod 2**64) give the hash of any byte range in
-constant time, so no Python object is made per word. Blocks are bounded in
-bytes and documents; one longer document makes a block of its own.
+words (maximal runs of bytes other than ASCII white space), and byte ranges are
+hashed eight bytes at a time, all ranges of a block together, so no Python
+object is made per word. Every eight bytes go through a bijective, nonlinear
+mixer under a seed; ranges over LONG bytes go to BLAKE2b under the same seed.
+Where a hash stands for identity, either the seed is drawn at random for the
+run or process, so that no text can be made to collide, or the bytes themselves
+are compared (``identities``, ``equal_ranges``). Blocks are bounded in bytes and
+documents; one longer document makes a block of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +21,14 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 1024
-_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible mod 2**64
+LONG = 256
 _U = np.uint64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_pow = np.ones(1, _U)
-_inv = np.ones(1, _U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i in 0..n, kept between calls."""
-    global _pow, _inv
-    if len(_pow) <= n:
-        for_n = max(n, BLOCK_BYTES) + 1
-        one = np.ones(1, _U)
-        _pow = np.concatenate([one, np.cumprod(np.full(for_n, _BASE, _U))])
-        _inv = np.concatenate([one, np.cumprod(np.full(for_n, pow(_BASE, -1, 2**64), _U))])
-    return _pow, _inv
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +39,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as little-endian integers (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def equal_ranges(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of so many bytes of ``a`` and ``b`` are equal, byte for byte."""
+    left, right, same = eights(a), eights(b), np.ones(len(size), bool)
+    for i in np.flatnonzero(size > LONG):
+        same[i] = bool(np.array_equal(a[a_start[i] : a_start[i] + size[i]], b[b_start[i] : b_start[i] + size[i]]))
+    at, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(at):
+        differ = (left[a_start[at] + k] ^ right[b_start[at] + k]) & _MASK[np.minimum(size[at] - k, 8)]
+        same[at[differ != 0]] = False
+        k += 8
+        at = at[(differ == 0) & (size[at] > k)]
+    return same
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,7 +92,7 @@ class Block:
     ``end`` are byte positions in ``data``; ``at`` are the documents' offsets.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, space: np.ndarray = SPACE, seed: int = 0):
         self.lo, self.hi, self.docs = lo, hi, hi - lo
         self.raw = data[offsets[lo] : offsets[hi]]
         self.data = LOWER[self.raw] if lower else self.raw
@@ -98,21 +110,40 @@ class Block:
         self.end = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(self.first)
-        self._sums = None
-
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            n = len(self.data)
-            up, _ = _powers(n)
-            self._sums = np.zeros(n + 1, _U)
-            np.cumsum(_BYTE[self.data] * up[:n], out=self._sums[1:])
-        return self._sums
+        self.seed = seed
+        self._eights = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte ranges."""
-        sums = self.sums()
-        down = _powers(len(self.data))[1]
-        return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        if self._eights is None:
+            self._eights = eights(self.data)
+        eight, size = self._eights, end - start
+        out = mix((eight[start] & _MASK[np.minimum(size, 8)]) ^ (size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(self.seed)))
+        at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(at):
+            left = size[at] - k
+            out[at] = mix((out[at] ^ (eight[start[at] + k] & _MASK[np.minimum(left, 8)])) * _U(0x9E3779B97F4A7C15))
+            k += 8
+            at = at[left > 8]
+        key = self.seed.to_bytes(8, "little")
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return out
+
+    def identities(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+        """A number for each byte range, the same for equal bytes only, and how many numbers there are."""
+        _, first, number = np.unique(self.hashes(start, end), return_index=True, return_inverse=True)
+        count = len(first)
+        if not count:
+            return number, 0
+        model = first[number]
+        size = end - start
+        same = size == size[model]
+        same[same] = equal_ranges(self.data, start[same], self.data, start[model[same]], size[same])
+        others: dict[bytes, int] = {}  # ranges whose hash is another's
+        for i in np.flatnonzero(~same):
+            number[i] = others.setdefault(self.data[start[i] : end[i]].tobytes(), count + len(others))
+        return number, count + len(others)
 
     def words(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
@@ -133,11 +164,11 @@ class Block:
         return mix(run[inside]), per_doc
 
 
-def blocks(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Iterator[Block]:
+def blocks(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE, seed: int = 0) -> Iterator[Block]:
     """Whole documents in bounded blocks; ``space`` marks the bytes between words."""
     data, offsets = buffers(column)
     for lo, hi in cuts(offsets):
-        yield Block(data, offsets, lo, hi, lower, space)
+        yield Block(data, offsets, lo, hi, lower, space, seed)
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
