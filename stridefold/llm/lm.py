@@ -6,9 +6,12 @@ grows with it; all other words fall into hashed buckets, and a word of a bucket
 has its share of the bucket's occurrences as a further factor. The network sums
 scaled embeddings of the context words, and its output is factored: first a
 class, then a member of the class, about the square root of the symbols each.
-Each task of a round takes gradient steps on all windows of its documents, from
-the same weights; the round's weights are the mean
-over tasks, weighted by their windows and summed by Spark per changed weight. A
+
+Texts are coded as symbols once. For training, they are dealt to shards by a
+hash of id and text, and sorted by it, so that a shard's batches depend on the
+corpus alone, not on how its files or partitions lie. Each shard takes gradient
+steps on all its windows from the same weights; a round's weights are the mean
+over shards, weighted by their windows and summed by Spark in whole numbers. A
 document's score is the sum of the conditional log-probabilities of all its words.
 """
 
@@ -26,13 +29,17 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import Scratch, bounded_batches
 from stridefold.llm.textkernel import Block, blocks
 
-#: The least size of the network; every word of FLOOR occurrences or more is a symbol, and of rarer ones the most frequent while there is room.
-CLASSES, MEMBERS, BUCKETS, FLOOR = 32, 32, 256, 1000
-#: About so many words have their counts broadcast; the counts of the others are joined from the table.
-KEEP = 1 << 18
+#: The network has side * side symbols, BUCKETS of them for the words that are none themselves. Every word of FLOOR occurrences or more
+#: is a symbol as far as MOST_SIDE allows (a symbol has two bytes), and of rarer ones the most frequent while there is room.
+LEAST_SIDE, MOST_SIDE, BUCKETS, FLOOR = 32, 255, 256, 1000
+#: At most so many words, the most frequent, have their counts broadcast (12 bytes each); the counts of the others are joined from the table.
+KEEP = 1 << 20
 WIDTH, OFFSETS = 16, (-2, -1, 1, 2)
-BATCH, RATE, ROUNDS = 4096, 0.05, 2
-SYMBOLS = CLASSES * MEMBERS
+BATCH, RATE, ROUNDS = 4096, 0.05, 1
+#: Texts are cut into pieces of so many words, each with its neighbours. A shard has about SHARD words, or more where there would be over MOST_SHARDS.
+PIECE, SHARD, MOST_SHARDS = 8192, 1 << 20, 1 << 15
+#: Sums over rows are of whole numbers, which do not depend on their order: log-probabilities and weights times these.
+UNIT, FINE = 1 << 24, 1 << 52
 Weights = dict[str, np.ndarray]
 
 
@@ -42,18 +49,14 @@ def shapes(side: int) -> dict[str, tuple[int, ...]]:
         "embedding": (side * side + 1, WIDTH),  # the last row stands for what is beyond the text
         "scale": (len(OFFSETS), WIDTH),
         "hidden": (WIDTH,),
-        "class_weight": (WIDTH, side),
+        "output": (WIDTH, 2 * side),  # classes, then members
         "class_bias": (side,),
-        "member_weight": (WIDTH, side),
         "member_bias": (side, side),
     }
 
 
-SHAPES = shapes(CLASSES)
-
-
 def flat(weights: Weights) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in SHAPES]).astype(np.float32)
+    return np.concatenate([x.ravel() for x in weights.values()]).astype(np.float32)
 
 
 def shaped(values: np.ndarray, side: int) -> Weights:
@@ -77,96 +80,78 @@ def initial(counts: np.ndarray, seed: int = 1) -> Weights:
     return out
 
 
-class Vocabulary:
-    """Symbols of word hashes: the frequent words by rank, then buckets at the end."""
-
-    def __init__(self, words: np.ndarray, side: int):
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
-        self.beyond = side * side
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The rank of each word, -1 where there is none."""
-        if not len(self.sorted):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], -1)
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        rank = self.find(hashes)
-        return np.where(rank >= 0, rank, self.beyond - BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
-
-
-def contexts(block: Block, symbols: np.ndarray, beyond: int) -> np.ndarray:
-    """The symbols at each offset from each word; ``beyond`` outside the text."""
-    n = len(symbols)
-    doc = block.doc_of_word()
-    out = np.full((n, len(OFFSETS)), beyond, np.int64)
-    for j, o in enumerate(OFFSETS):
-        if abs(o) < n:
-            here = slice(max(0, -o), n - max(0, o))
-            there = slice(max(0, o), n - max(0, -o))
-            out[here, j] = np.where(doc[here] == doc[there], symbols[there], beyond)
-    return out
+def contexts(symbols: np.ndarray, lo: int, hi: int, beyond: int) -> np.ndarray:
+    """The symbols at each offset from each word of lo:hi; ``beyond`` outside the text."""
+    reach = max(map(abs, OFFSETS))
+    edge = np.full(reach, beyond, symbols.dtype)
+    padded = np.concatenate([edge, symbols, edge])
+    return np.stack([padded[lo + reach + o : hi + reach + o] for o in OFFSETS], 1)
 
 
 def forward(w: Weights, context: np.ndarray, target: np.ndarray):
-    """Hidden units, class and member of the targets, both layers' exponentials and sums, log-probabilities.
-
-    Sums over the short axis are products with ones or with the members' prior
-    weights, which numpy does far faster than reductions.
-    """
-    h = np.zeros((len(target), WIDTH), np.float32) + w["hidden"]
+    """Hidden units, class and member of the targets, exponentials of both layers and their sums, log-probabilities."""
+    side = len(w["class_bias"])
+    h = np.repeat(w["hidden"][None], len(target), 0)
     for j in range(len(OFFSETS)):
         h += w["embedding"][context[:, j]] * w["scale"][j]
     np.tanh(h, out=h)
-    classes, members = w["member_bias"].shape
-    c, m = target // members, target % members
-    first = h @ w["class_weight"] + w["class_bias"]
-    second = h @ w["member_weight"]
+    c, m = target // side, target % side
+    both = h @ w["output"]
+    both[:, :side] += w["class_bias"]
     rows = np.arange(len(target))
-    picked = first[rows, c] + second[rows, m] + w["member_bias"][c, m]
-    np.exp(np.minimum(first, 60, out=first), out=first)
-    np.exp(np.minimum(second, 60, out=second), out=second)
-    prior = np.exp(w["member_bias"])[c]
-    sum1, sum2 = first @ np.ones(classes, np.float32), np.einsum("bk,bk->b", second, prior)
-    return h, c, m, first / sum1[:, None], (second, prior, sum2), picked - np.log(sum1) - np.log(sum2)
+    picked = both[rows, c] + both[rows, side + m] + w["member_bias"][c, m]
+    np.exp(np.minimum(both, 60, out=both), out=both)
+    both[:, side:] *= np.exp(w["member_bias"])[c]
+    one = np.ones(side, np.float32)  # products with ones: far faster than sums over the short axis
+    sum1, sum2 = both[:, :side] @ one, both[:, side:] @ one
+    return h, c, m, both, sum1, sum2, picked - np.log(sum1) - np.log(sum2)
 
 
 def log_probs(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    return forward(w, context, target)[-1]
+    """Batch by batch of one size (the last is filled up), so that a window's value does not depend on its place."""
+    out = np.zeros(len(target))
+    for at in range(0, len(target), BATCH):
+        some, goal = context[at : at + BATCH], target[at : at + BATCH]
+        lack = BATCH - len(goal)
+        if lack:
+            some, goal = np.concatenate([some, np.zeros((lack, len(OFFSETS)), some.dtype)]), np.concatenate([goal, np.zeros(lack, goal.dtype)])
+        out[at : at + BATCH] = forward(w, some, goal)[-1][: BATCH - lack]
+    return out
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
 def step(w: Weights, squares: Weights, context: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on a batch of windows."""
-    h, c, m, dc, (second, prior, sum2), _ = forward(w, context, target)
-    rows, n = np.arange(len(target)), np.float32(len(target))
-    dm = second * prior / sum2[:, None]
-    dc[rows, c] -= 1
-    dm[rows, m] -= 1
-    dc, dm = dc / n, dm / n
-    dh = (dc @ w["class_weight"].T + dm @ w["member_weight"].T) * (1 - h * h)
+    order = np.argsort(target, kind="stable")
+    context, target = context[order], target[order]
+    h, c, m, both, sum1, sum2, _ = forward(w, context, target)
+    side, rows, share = len(w["class_bias"]), np.arange(len(target)), np.float32(1 / len(target))
+    both[:, :side] *= (share / sum1)[:, None]
+    both[:, side:] *= (share / sum2)[:, None]
+    both[rows, c] -= share
+    both[rows, side + m] -= share
+    dh = (both @ w["output"].T) * (1 - h * h)
+    one = np.ones(len(target), np.float32)
     # gradients of the embeddings and classes that the batch has
-    seen = np.zeros(len(w["embedding"]), bool)
-    seen[context] = True
-    symbols = np.flatnonzero(seen)
-    place = np.cumsum(seen)[context].ravel() - 1
-    embedding = np.stack([np.bincount(place, np.outer(dh[:, k], w["scale"][:, k]).ravel(), len(symbols)) for k in range(WIDTH)], 1)
-    scale = np.stack([(dh * w["embedding"][context[:, j]]).sum(0) for j in range(len(OFFSETS))])
-    order = np.argsort(c, kind="stable")
-    some, first = np.unique(c[order], return_index=True)
+    symbol = context.ravel()
+    by = np.argsort(symbol, kind="stable")
+    symbol = symbol[by]
+    first, some = _starts(symbol), _starts(c)
     gradients = {
-        "embedding": (symbols, embedding),
-        "scale": (slice(None), scale),
-        "hidden": (slice(None), dh.sum(0)),
-        "class_weight": (slice(None), h.T @ dc),
-        "class_bias": (slice(None), dc.sum(0)),
-        "member_weight": (slice(None), h.T @ dm),
-        "member_bias": (some, np.add.reduceat(dm[order], first, 0)),
+        "embedding": (symbol[first], np.add.reduceat((dh[:, None, :] * w["scale"]).reshape(-1, WIDTH)[by], first, 0)),
+        "scale": (slice(None), np.stack([one @ (dh * w["embedding"][context[:, j]]) for j in range(len(OFFSETS))])),
+        "hidden": (slice(None), one @ dh),
+        "output": (slice(None), h.T @ both),
+        "class_bias": (slice(None), one @ both[:, :side]),
+        "member_bias": (c[some], np.add.reduceat(both[:, side:], some, 0)),
     }
     for name, (at, g) in gradients.items():
-        squares[name][at] += (g * g).astype(np.float32)
-        w[name][at] -= (RATE * g / np.sqrt(squares[name][at] + 1e-8)).astype(np.float32)
+        sum_of = squares[name][at] + g * g
+        squares[name][at] = sum_of
+        w[name][at] -= RATE * g / np.sqrt(sum_of + np.float32(1e-8))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,80 +175,143 @@ class Counts:
 
 
 def gather(texts: DataFrame, scratch: Scratch) -> Counts:
-    """Counts of all words of the whole corpus; the words of FLOOR occurrences or more are always among those held."""
+    """Counts of all words of the whole corpus; those of the most frequent words, KEEP at most, are held."""
     table = scratch.save(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    sizes = table.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)  # a row for each count that occurs
-    held = sizes["n"][(sizes["words"].cumsum() <= KEEP) | (sizes["n"] >= FLOOR)]
-    least = int(held.min()) if len(held) else 1
+    level = F.floor(16 * F.log2(F.col("n").cast("double")))  # under 1,008 levels, whatever the counts
+    levels = table.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).toPandas().sort_values("level", ascending=False)
+    held = levels["words"].cumsum() <= KEEP
+    least = int(levels["least"][held].min()) if held.any() else 2**62
     top = table.where(F.col("n") >= least).toArrow()
     words, counts = (top.column(k).to_numpy() for k in ("word", "n"))
     order = np.lexsort((words, -counts))
     words, counts = words[order].view(np.uint64), counts[order]
-    side = max(CLASSES, math.isqrt(int((counts >= FLOOR).sum()) + BUCKETS - 1) + 1)
-    known = min(len(words), side * side - BUCKETS)
-    sizes_of = np.zeros(side * side)
-    sizes_of[:known] = counts[:known]
+    side = min(MOST_SIDE, max(LEAST_SIDE, math.isqrt(int((counts >= FLOOR).sum()) + BUCKETS - 1) + 1))
     start = side * side - BUCKETS
+    known = min(len(words), start)
+    sizes = np.zeros(side * side)
+    sizes[:known] = counts[:known]
     rest = table.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    sizes_of[start + rest["bucket"].to_numpy(np.int64)] += rest["n"].to_numpy(np.float64)
-    np.subtract.at(sizes_of, start + (words[:known] % np.uint64(BUCKETS)).astype(np.int64), counts[:known].astype(np.float64))
-    return Counts(words, counts, known, sizes_of, table.where(F.col("n") < least) if len(held) < len(sizes) else None)
+    sizes[start + rest["bucket"].to_numpy(np.int64)] += rest["n"].to_numpy(np.float64)
+    np.subtract.at(sizes, start + (words[:known] % np.uint64(BUCKETS)).astype(np.int64), counts[:known].astype(np.float64))
+    return Counts(words, counts, known, sizes, None if held.all() else table.where(F.col("n") < least))
+
+
+class Coder:
+    """Symbols of words, and what a word of a bucket adds to its bucket's log-probability."""
+
+    def __init__(self, words: np.ndarray, log_counts: np.ndarray, known: int, log_sizes: np.ndarray, side: int):
+        self.order = np.argsort(words)
+        self.sorted, self.log_counts, self.known, self.log_sizes, self.beyond = words[self.order], log_counts, known, log_sizes, side * side
 
+    def code(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's symbol and added term (without its log count where that is not held), and the places of those not held."""
+        rank = np.full(len(hashes), -1)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+            met = self.sorted[at] == hashes
+            rank[met] = self.order[at[met]]
+        term = np.zeros(len(hashes))
+        outside = np.flatnonzero((rank < 0) | (rank >= self.known))
+        bucket = (hashes[outside] % np.uint64(BUCKETS)).astype(np.int64)
+        symbol = rank.copy()
+        symbol[outside] = self.beyond - BUCKETS + bucket
+        term[outside] -= self.log_sizes[bucket]
+        counted = outside[rank[outside] >= 0]
+        term[counted] += self.log_counts[rank[counted]]
+        return symbol.astype(np.uint16), term, np.flatnonzero(rank < 0)
 
-def train(texts: DataFrame, words: np.ndarray, weights: Weights, rounds: int = ROUNDS) -> Weights:
-    spark, side = texts.sparkSession, len(weights["class_bias"])
+
+CODED = "key long, doc_id long, text_hash long, piece long, n long, before long, symbols binary, term long, rare array<long>"
+
+
+def coded(rows: DataFrame, coder) -> DataFrame:
+    """A row for each piece: its n words from place ``before`` on among ``symbols``, which hold its neighbours too."""
+    reach = max(map(abs, OFFSETS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Coder(*coder.value)
+        for batch in batches:
+            for block in blocks(batch.column(3), True):
+                hashes = block.words()
+                symbols, terms, rare = of.code(hashes)
+                pieces = np.maximum(1, -(-block.count // PIECE))
+                doc = np.repeat(np.arange(block.docs), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                lo = block.first[doc] + PIECE * piece
+                hi = np.minimum(lo + PIECE, block.first[doc + 1])
+                left, right = np.maximum(lo - reach, block.first[doc]), np.minimum(hi + reach, block.first[doc + 1])
+                sums = np.concatenate([[0], np.cumsum(np.rint(terms * UNIT).astype(np.int64))])
+                cut = np.searchsorted(rare, np.append(lo, len(hashes))).astype(np.int32)
+                own = pa.array(doc + block.lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i).take(own) for i in range(3)),
+                        pa.array(piece),
+                        pa.array(hi - lo),
+                        pa.array(lo - left),
+                        pa.array([symbols[a:b].tobytes() for a, b in zip(left, right)], pa.binary()),
+                        pa.array(sums[hi] - sums[lo]),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64))),
+                    ],
+                    ["key", "doc_id", "text_hash", "piece", "n", "before", "symbols", "term", "rare"],
+                )
+
+    return rows.mapInArrow(run, CODED)
+
+
+def windows_of(batch: pa.RecordBatch, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of the pieces of a batch, end to end."""
+    context, target = [np.zeros((0, len(OFFSETS)), np.uint16)], [np.zeros(0, np.uint16)]
+    for raw, lo, n in zip(batch.column("symbols"), batch.column("before").to_pylist(), batch.column("n").to_pylist()):
+        if n:
+            symbols = np.frombuffer(raw.as_buffer(), np.uint16)
+            context.append(contexts(symbols, lo, lo + n, beyond))
+            target.append(symbols[lo : lo + n])
+    return np.concatenate(context), np.concatenate(target)
+
+
+def train(pieces: DataFrame, weights: Weights, words: int, rounds: int = ROUNDS) -> Weights:
+    """``pieces`` are rows of ``coded``, with ``words`` words in all; the result does not depend on their order or partitions."""
+    if not words:
+        return weights
+    spark, side = pieces.sparkSession, len(weights["class_bias"])
+    shards = -(-words // max(SHARD, words // MOST_SHARDS))
+    place = F.xxhash64("doc_id", "text_hash", "piece")
+    dealt = (
+        pieces.select("n", "before", "symbols", place.alias("place")).where("n > 0")
+        .repartitionById(shards, F.pmod("place", F.lit(shards)).cast("int"))
+        .sortWithinPartitions("place", "n", "before", "symbols")
+        .select("n", "before", "symbols")
+    )
     for _ in range(rounds):
-        start = spark.sparkContext.broadcast((words, flat(weights)))  # about 17 floats a symbol
+        start = spark.sparkContext.broadcast(flat(weights))  # about WIDTH + 1 floats a symbol, 4.5 MB at most
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            words, values = start.value
-            vocabulary, w = Vocabulary(words, side), shaped(values, side)
+            w = shaped(start.value, side)
             squares = {k: np.zeros_like(v) for k, v in w.items()}
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = windows = 0
+            context, target = np.zeros((0, len(OFFSETS)), np.uint16), np.zeros(0, np.uint16)
+            windows = 0
             for batch in batches:
-                for block in blocks(batch.column(0), True):
-                    symbols = vocabulary.symbols(block.words())
-                    held.append((contexts(block, symbols, vocabulary.beyond), symbols))
-                    size += len(symbols)
-                    if size >= BATCH:
-                        context, target = (np.concatenate(x) for x in zip(*held))
-                        whole = size - size % BATCH
-                        for at in range(0, whole, BATCH):
-                            step(w, squares, context[at : at + BATCH], target[at : at + BATCH])
-                        held, size, windows = [(context[whole:], target[whole:])], size - whole, windows + whole
-            if size:
-                step(w, squares, *(np.concatenate(x) for x in zip(*held)))
-                windows += size
+                more, goals = windows_of(batch, side * side)
+                context, target = np.concatenate([context, more]), np.concatenate([target, goals])
+                whole = len(target) - len(target) % BATCH
+                for at in range(0, whole, BATCH):
+                    step(w, squares, context[at : at + BATCH], target[at : at + BATCH])
+                context, target, windows = context[whole:], target[whole:], windows + whole
+            if len(target):
+                step(w, squares, context, target)
+                windows += len(target)
             if windows:
-                moved = flat(w).astype(np.float64) - values
+                moved = np.rint((flat(w).astype(np.float64) - start.value) * (windows / words) * FINE).astype(np.int64)
                 at = np.flatnonzero(moved)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * windows, windows))], ["i", "total"])
-
-        sums = texts.mapInArrow(run, "i long, total double").groupBy("i").agg(F.sum("total").alias("total")).toPandas()
-        if len(sums):
-            at, total = sums["i"].to_numpy(np.int64), sums["total"].to_numpy(np.float64)
-            values = flat(weights).astype(np.float64)
-            values[at[at >= 0]] += total[at >= 0] / total[at < 0]
-            weights = shaped(values, side)
-    return weights
-
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(moved[at])], ["i", "total"])
 
-def block_scores(w: Weights, held: Vocabulary, log_counts: np.ndarray, known: int, log_sizes: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The score of each text but for the log counts of the words that are not held, and where and what those are."""
-    hashes = block.words()
-    rank = held.find(hashes)
-    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    inside = (rank >= 0) & (rank < known)
-    symbols = np.where(inside, rank, held.beyond - BUCKETS + bucket)
-    context = contexts(block, symbols, held.beyond)
-    each = np.zeros(len(symbols))
-    for at in range(0, len(symbols), BATCH):
-        each[at : at + BATCH] = log_probs(w, context[at : at + BATCH], symbols[at : at + BATCH])
-    each[~inside] -= log_sizes[bucket[~inside]]
-    counted = ~inside & (rank >= 0)
-    each[counted] += log_counts[rank[counted]]
-    return np.bincount(block.doc_of_word(), each, block.docs), np.flatnonzero(rank < 0), hashes[rank < 0]
+        sums = dealt.mapInArrow(run, "i long, total long").groupBy("i").agg(F.sum("total").alias("total")).toPandas()  # a row for each weight at most
+        values = flat(weights).astype(np.float64)
+        values[sums["i"].to_numpy(np.int64)] += sums["total"].to_numpy(np.int64) / FINE
+        weights = shaped(values, side)
+        start.unpersist()
+    return weights
 
 
 def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -271,38 +319,36 @@ def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Null texts and texts without words have 0 words, sum 0 and a null mean.
     Repeated rows score the same each; extra columns are ignored; an empty table
-    gives no rows. Words are compared in lower case (A-Z).
+    gives no rows. Words are compared in lower case (A-Z). The scores are those
+    of the rows as a whole: their order, files and partitions change nothing.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark, "lm")
     corpus = gather(rows.select("text"), scratch)
-    side, known = corpus.side, corpus.vocabulary
-    weights = train(rows.select("text"), corpus.words[:known], initial(corpus.sizes), rounds)
+    side = corpus.side
     # one occurrence of each bucket is left to words that the corpus does not have
-    model = spark.sparkContext.broadcast((corpus.words, np.log(corpus.counts).astype(np.float32), np.log1p(corpus.sizes[-BUCKETS:]), flat(weights)))
+    coder = spark.sparkContext.broadcast((corpus.words, np.log(corpus.counts).astype(np.float32), corpus.vocabulary, np.log1p(corpus.sizes[-BUCKETS:]), side))
+    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    pieces = scratch.save(coded(keyed, coder), "pieces")
+    weights = train(pieces, initial(corpus.sizes), int(corpus.sizes.sum()), rounds)
+    model = spark.sparkContext.broadcast(flat(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log_counts, log_sizes, values = model.value
-        held, w = Vocabulary(words, side), shaped(values, side)
+        w = shaped(model.value, side)
         for batch in batches:
-            for block in blocks(batch.column(1), True):
-                score, rare, others = block_scores(w, held, log_counts, known, log_sizes, block)
-                first = np.searchsorted(rare, block.first).astype(np.int32)
-                missing = pa.ListArray.from_arrays(pa.array(first), pa.array(others.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.docs), pa.array(block.count.astype(np.int64)), pa.array(score), batch.column(2).slice(block.lo, block.docs), missing],
-                    ["doc_id", "n_words", "log_prob", "key", "rare"],
-                )
+            context, target = windows_of(batch, side * side)
+            each = np.rint(log_probs(w, context, target) * UNIT).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("n"), pa.array(np.diff(sums) + batch.column("term").to_numpy())], ["key", "doc_id", "n", "score"])
 
-    rows = rows.withColumn("key", F.monotonically_increasing_id())
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_prob double, key long, rare array<long>")
+    scored = pieces.select("key", "doc_id", "n", "before", "symbols", "term").mapInArrow(run, "key long, doc_id long, n long, score long")
     if corpus.rare is not None:
-        scored = scratch.save(scored, "scored")
-        terms = scored.select("key", F.explode("rare").alias("word")).join(corpus.rare, "word", "left")
-        terms = terms.groupBy("key").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("term"))
-        scored = scored.join(terms, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("term", F.lit(0.0)))
+        terms = pieces.select("key", F.explode("rare").alias("word")).join(corpus.rare, "word")
+        terms = terms.groupBy("key").agg(F.sum(F.round(F.log(F.col("n").cast("double")) * UNIT).cast("long")).alias("score"))
+        scored = scored.unionByName(terms.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "score"))
     else:
         scratch.drop("counts")
-    return scored.select("doc_id", "n_words", "log_prob", F.try_divide("log_prob", "n_words").alias("mean_log_prob"))
+    whole = scored.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), (F.sum("score") / UNIT).alias("log_prob"))
+    return whole.select("doc_id", "n_words", "log_prob", F.try_divide("log_prob", "n_words").alias("mean_log_prob"))

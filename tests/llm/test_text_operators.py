@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stridefold.llm import langid, lm, queries, toxicity
+from stridefold.llm import langid, queries, toxicity
 from stridefold.llm.graph import components
 from stridefold.llm.minhash import bands_for, drop_near_duplicates, near_duplicates, odd_sketches, one_permutation
 from stridefold.llm.quality import BASE_RULES, RULES, Texts, drop_rejected, quality, ranked, verdicts
@@ -222,93 +222,6 @@ def test_every_language_is_learned(spark):
     assert len(got) == 282 and all(r.lang_pred == r.lang for r in got)
 
 
-def test_lm_matches_plain_softmax():
-    rng = np.random.default_rng(0)
-    w = lm.initial(rng.integers(1, 100, lm.SYMBOLS).astype(float))
-    w["embedding"] = rng.normal(0, 1, lm.SHAPES["embedding"]).astype(np.float32)
-    context, target = rng.integers(0, lm.SYMBOLS + 1, (6, len(lm.OFFSETS))), rng.integers(0, lm.SYMBOLS, 6)
-    for row, goal, value in zip(context, target, lm.log_probs(w, context, target)):
-        h = np.tanh(w["hidden"] + sum(w["embedding"][s] * w["scale"][j] for j, s in enumerate(row)))
-        first, second = h @ w["class_weight"] + w["class_bias"], None
-        total = 0.0
-        for c in range(lm.CLASSES):
-            second = h @ w["member_weight"] + w["member_bias"][c]
-            p = np.exp(first[c]) / np.exp(first).sum() * np.exp(second) / np.exp(second).sum()
-            total += p.sum()
-            if c == goal // lm.MEMBERS:
-                assert value == pytest.approx(np.log(p[goal % lm.MEMBERS]), abs=1e-4)
-        assert total == pytest.approx(1, abs=1e-4)
-
-
-def test_lm_gradient():
-    rng = np.random.default_rng(1)
-    w = lm.initial(np.ones(lm.SYMBOLS))
-    context, target = rng.integers(0, 50, (64, len(lm.OFFSETS))), rng.integers(0, 50, 64)
-    before, squares = lm.log_probs(w, context, target).mean(), {k: np.zeros_like(v) for k, v in w.items()}
-    for _ in range(60):
-        lm.step(w, squares, context, target)
-    assert lm.log_probs(w, context, target).mean() > before + 1
-
-
-def test_lm_prefers_text_in_order(spark):
-    """Both sides tell the word: a b c b a ... against the same words shuffled."""
-    rng = random.Random(0)
-    cycle = ["aa", "bb", "cc", "dd", "ee"]
-    good = [" ".join(cycle[(s + i) % 5] for i in range(60)) for s in (rng.randrange(5) for _ in range(300))]
-    bad = [" ".join(rng.sample(g.split(), 60)) for g in good[:50]]
-    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
-    rows = by_id(lm.pseudo_likelihood(docs, rounds=4))
-    assert np.mean([rows[i].mean_log_prob for i in range(50)]) > np.mean([rows[300 + i].mean_log_prob for i in range(50)]) + 0.5
-    assert all(r.log_prob == pytest.approx(r.mean_log_prob * r.n_words) and r.n_words == 60 for r in rows.values())
-
-
-def one_word_texts(spark):
-    """Texts of one word each: word i of 3,000 occurs 1 + i % 7 times, some without an id."""
-    rows = [(None if i % 5 == 0 else 10 * i + k, f"w{i}") for i in range(3000) for k in range(1 + i % 7)]
-    return spark.createDataFrame(rows, "doc_id long, text string")
-
-
-def test_lm_probabilities_of_all_words(spark, monkeypatch):
-    """Over all words they are at most 1, and of words of one bucket the more frequent one is more probable."""
-    docs = one_word_texts(spark)
-    rows = lm.pseudo_likelihood(docs, rounds=0).collect()
-    assert len(rows) == docs.count()
-    own = {10 * i: 1 + i % 7 for i in range(3000) if i % 5}
-    score = {r.doc_id: r.log_prob for r in rows if r.doc_id in own}
-    assert 0.5 < sum(map(np.exp, score.values())) < 1
-    by_count = [np.mean([score[d] for d in own if own[d] == n]) for n in range(1, 7)]
-    assert by_count == sorted(by_count)
-    monkeypatch.setattr(lm, "KEEP", 1000)  # the counts of the others are joined
-    again = lm.pseudo_likelihood(docs, rounds=0).collect()
-    assert sorted(r.log_prob for r in again) == pytest.approx(sorted(r.log_prob for r in rows), abs=1e-5)
-
-
-def test_lm_vocabulary_grows(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FLOOR", 3)
-    found = lm.gather(one_word_texts(spark).select("text"), Scratch(spark, "t"))
-    assert found.vocabulary >= sum(1 + i % 7 >= 3 for i in range(3000)) and found.sizes.sum() == sum(1 + i % 7 for i in range(3000))
-    assert lm.pseudo_likelihood(one_word_texts(spark)).where("log_prob < 0").count() == found.sizes.sum()
-
-
-def test_lm_trains_on_every_word(spark):
-    """Records of four words: each of the four places is learned as a target."""
-    text = "one two three four"
-    docs = spark.createDataFrame([(text,)] * 2000, "text string")
-    block = next(blocks(pa.array([text]), True))
-    words, places = block.words(), np.arange(4)
-    before = lm.initial(np.zeros(lm.SYMBOLS))
-    after = lm.train(docs, words, before)
-    context = lm.contexts(block, places, lm.SYMBOLS)
-    assert (lm.log_probs(after, context, places) > lm.log_probs(before, context, places) + 0.2).all()
-
-
-def test_lm_of_odd_rows(odd, empty):
-    rows = lm.pseudo_likelihood(odd).collect()
-    assert len(rows) == odd.count() and all(r.log_prob == 0 and r.mean_log_prob is None for r in rows if r.doc_id in (4, 5, 6))
-    assert all(r.log_prob < 0 for r in rows if r.n_words)
-    assert lm.pseudo_likelihood(empty).count() == 0
-
-
 def test_queries_are_whole(spark, small, documents):
     n = documents.count()
     for name in ("op1_minhash", "op5_quality", "op7_lm_scoring", "op8_toxicity", "op10_language"):
