@@ -4,8 +4,9 @@ Every word of a text is predicted from the words on both sides of it. The
 vocabulary is the words that occur often enough in the whole corpus, so that it
 grows with it; all other words fall into hashed buckets, and a word of a bucket
 has its share of the bucket's occurrences as a further factor. The network sums
-scaled embeddings of the context words, and its output is factored: first a
-class, then a member of the class, about the square root of the symbols each.
+scaled embeddings of the context words, and its output is factored: a symbol is
+three digits, each predicted after those before it, so that a window costs about
+the cube root of the vocabulary.
 
 Texts are coded as symbols once. For training, they are dealt to shards by a
 hash of id and text, and sorted by it, so that a shard's batches depend on the
@@ -29,29 +30,31 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import Scratch, bounded_batches
 from stridefold.llm.textkernel import Block, blocks
 
-#: The network has side * side symbols, BUCKETS of them for the words that are none themselves. Every word of FLOOR occurrences or more
+#: The network has side**3 symbols, BUCKETS of them for the words that are none themselves. Every word of FLOOR occurrences or more
 #: is a symbol as far as MOST_SIDE allows (a symbol has two bytes), and of rarer ones the most frequent while there is room.
-LEAST_SIDE, MOST_SIDE, BUCKETS, FLOOR = 32, 255, 256, 1000
+LEAST_SIDE, MOST_SIDE, BUCKETS, FLOOR = 10, 40, 256, 1000
 #: At most so many words, the most frequent, have their counts broadcast (12 bytes each); the counts of the others are joined from the table.
 KEEP = 1 << 20
-WIDTH, OFFSETS = 16, (-2, -1, 1, 2)
+WIDTH, OFFSETS = 24, (-2, -1, 1, 2)
 BATCH, RATE, ROUNDS = 4096, 0.05, 1
-#: Texts are cut into pieces of so many words, each with its neighbours. A shard has about SHARD words, or more where there would be over MOST_SHARDS.
-PIECE, SHARD, MOST_SHARDS = 8192, 1 << 20, 1 << 15
+#: Texts are cut into pieces of so many words, each with its neighbours. A shard has about SHARD words, or more: so many for
+#: each weight that it sends back, and so many that there are no more than MOST_SHARDS.
+PIECE, SHARD, FOR_EACH_WEIGHT, MOST_SHARDS = 8192, 1 << 20, 32, 1 << 15
 #: Sums over rows are of whole numbers, which do not depend on their order: log-probabilities and weights times these.
 UNIT, FINE = 1 << 24, 1 << 52
 Weights = dict[str, np.ndarray]
 
 
 def shapes(side: int) -> dict[str, tuple[int, ...]]:
-    """Of a network of side * side symbols."""
+    """Of a network of side**3 symbols."""
     return {
-        "embedding": (side * side + 1, WIDTH),  # the last row stands for what is beyond the text
+        "embedding": (side**3 + 1, WIDTH),  # the last row stands for what is beyond the text
         "scale": (len(OFFSETS), WIDTH),
         "hidden": (WIDTH,),
-        "output": (WIDTH, 2 * side),  # classes, then members
-        "class_bias": (side,),
-        "member_bias": (side, side),
+        "output": (WIDTH, 3 * side),  # for each digit
+        "bias1": (side,),
+        "bias2": (side, side),  # by the first digit
+        "bias3": (side * side, side),  # by the first two
     }
 
 
@@ -70,13 +73,15 @@ def shaped(values: np.ndarray, side: int) -> Weights:
 
 def initial(counts: np.ndarray, seed: int = 1) -> Weights:
     """Small random weights; the biases give the corpus's own frequencies."""
-    rng, side = np.random.default_rng(seed), math.isqrt(len(counts))
+    rng, side = np.random.default_rng(seed), round(len(counts) ** (1 / 3))
     out = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in shapes(side).items()}
     out["scale"][:] = 1
     out["hidden"][:] = 0
-    share = (counts + 1.0).reshape(side, side)
-    out["class_bias"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
-    out["member_bias"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+    share = (counts + 1.0).reshape(side, side, side)
+    by1, by2 = share.sum((1, 2)), share.sum(2)
+    out["bias1"] = np.log(by1 / by1.sum()).astype(np.float32)
+    out["bias2"] = np.log(by2 / by1[:, None]).astype(np.float32)
+    out["bias3"] = np.log(share / by2[:, :, None]).astype(np.float32).reshape(side * side, side)
     return out
 
 
@@ -89,22 +94,24 @@ def contexts(symbols: np.ndarray, lo: int, hi: int, beyond: int) -> np.ndarray:
 
 
 def forward(w: Weights, context: np.ndarray, target: np.ndarray):
-    """Hidden units, class and member of the targets, exponentials of both layers and their sums, log-probabilities."""
-    side = len(w["class_bias"])
+    """Hidden units, the exponentials of all digits' values and their sums, log-probabilities."""
+    side = len(w["bias1"])
     h = np.repeat(w["hidden"][None], len(target), 0)
     for j in range(len(OFFSETS)):
         h += w["embedding"][context[:, j]] * w["scale"][j]
     np.tanh(h, out=h)
-    c, m = target // side, target % side
-    both = h @ w["output"]
-    both[:, :side] += w["class_bias"]
+    two, third = target // side, target % side
+    first, second = two // side, two % side
+    out = h @ w["output"]
+    out[:, :side] += w["bias1"]
     rows = np.arange(len(target))
-    picked = both[rows, c] + both[rows, side + m] + w["member_bias"][c, m]
-    np.exp(np.minimum(both, 60, out=both), out=both)
-    both[:, side:] *= np.exp(w["member_bias"])[c]
+    picked = out[rows, first] + out[rows, side + second] + out[rows, 2 * side + third] + w["bias2"][first, second] + w["bias3"][two, third]
+    np.exp(np.minimum(out, 60, out=out), out=out)
+    out[:, side : 2 * side] *= np.exp(w["bias2"])[first]
+    out[:, 2 * side :] *= np.exp(w["bias3"])[two]
     one = np.ones(side, np.float32)  # products with ones: far faster than sums over the short axis
-    sum1, sum2 = both[:, :side] @ one, both[:, side:] @ one
-    return h, c, m, both, sum1, sum2, picked - np.log(sum1) - np.log(sum2)
+    sums = [out[:, d * side : (d + 1) * side] @ one for d in range(3)]
+    return h, out, sums, picked - sum(map(np.log, sums))
 
 
 def log_probs(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -127,26 +134,28 @@ def step(w: Weights, squares: Weights, context: np.ndarray, target: np.ndarray)
     """One Adagrad step on a batch of windows."""
     order = np.argsort(target, kind="stable")
     context, target = context[order], target[order]
-    h, c, m, both, sum1, sum2, _ = forward(w, context, target)
-    side, rows, share = len(w["class_bias"]), np.arange(len(target)), np.float32(1 / len(target))
-    both[:, :side] *= (share / sum1)[:, None]
-    both[:, side:] *= (share / sum2)[:, None]
-    both[rows, c] -= share
-    both[rows, side + m] -= share
-    dh = (both @ w["output"].T) * (1 - h * h)
+    h, out, sums, _ = forward(w, context, target)
+    side, rows, share = len(w["bias1"]), np.arange(len(target)), np.float32(1 / len(target))
+    two = target // side
+    first = two // side
+    for d, digit in enumerate((first, two % side, target % side)):
+        out[:, d * side : (d + 1) * side] *= (share / sums[d])[:, None]
+        out[rows, d * side + digit] -= share
+    dh = (out @ w["output"].T) * (1 - h * h)
     one = np.ones(len(target), np.float32)
-    # gradients of the embeddings and classes that the batch has
+    # gradients of the embeddings and digits that the batch has
     symbol = context.ravel()
     by = np.argsort(symbol, kind="stable")
     symbol = symbol[by]
-    first, some = _starts(symbol), _starts(c)
+    each, some1, some2 = _starts(symbol), _starts(first), _starts(two)
     gradients = {
-        "embedding": (symbol[first], np.add.reduceat((dh[:, None, :] * w["scale"]).reshape(-1, WIDTH)[by], first, 0)),
+        "embedding": (symbol[each], np.add.reduceat((dh[:, None, :] * w["scale"]).reshape(-1, WIDTH)[by], each, 0)),
         "scale": (slice(None), np.stack([one @ (dh * w["embedding"][context[:, j]]) for j in range(len(OFFSETS))])),
         "hidden": (slice(None), one @ dh),
-        "output": (slice(None), h.T @ both),
-        "class_bias": (slice(None), one @ both[:, :side]),
-        "member_bias": (c[some], np.add.reduceat(both[:, side:], some, 0)),
+        "output": (slice(None), h.T @ out),
+        "bias1": (slice(None), one @ out[:, :side]),
+        "bias2": (first[some1], np.add.reduceat(out[:, side : 2 * side], some1, 0)),
+        "bias3": (two[some2], np.add.reduceat(out[:, 2 * side :], some2, 0)),
     }
     for name, (at, g) in gradients.items():
         sum_of = squares[name][at] + g * g
@@ -171,7 +180,7 @@ class Counts:
 
     @property
     def side(self) -> int:
-        return math.isqrt(len(self.sizes))
+        return round(len(self.sizes) ** (1 / 3))
 
 
 def gather(texts: DataFrame, scratch: Scratch) -> Counts:
@@ -185,10 +194,10 @@ def gather(texts: DataFrame, scratch: Scratch) -> Counts:
     words, counts = (top.column(k).to_numpy() for k in ("word", "n"))
     order = np.lexsort((words, -counts))
     words, counts = words[order].view(np.uint64), counts[order]
-    side = min(MOST_SIDE, max(LEAST_SIDE, math.isqrt(int((counts >= FLOOR).sum()) + BUCKETS - 1) + 1))
-    start = side * side - BUCKETS
+    side = min(MOST_SIDE, max(LEAST_SIDE, math.ceil((int((counts >= FLOOR).sum()) + BUCKETS) ** (1 / 3))))
+    start = side**3 - BUCKETS
     known = min(len(words), start)
-    sizes = np.zeros(side * side)
+    sizes = np.zeros(side**3)
     sizes[:known] = counts[:known]
     rest = table.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     sizes[start + rest["bucket"].to_numpy(np.int64)] += rest["n"].to_numpy(np.float64)
@@ -201,7 +210,7 @@ class Coder:
 
     def __init__(self, words: np.ndarray, log_counts: np.ndarray, known: int, log_sizes: np.ndarray, side: int):
         self.order = np.argsort(words)
-        self.sorted, self.log_counts, self.known, self.log_sizes, self.beyond = words[self.order], log_counts, known, log_sizes, side * side
+        self.sorted, self.log_counts, self.known, self.log_sizes, self.beyond = words[self.order], log_counts, known, log_sizes, side**3
 
     def code(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each word's symbol and added term (without its log count where that is not held), and the places of those not held."""
@@ -274,8 +283,8 @@ def train(pieces: DataFrame, weights: Weights, words: int, rounds: int = ROUNDS)
     """``pieces`` are rows of ``coded``, with ``words`` words in all; the result does not depend on their order or partitions."""
     if not words:
         return weights
-    spark, side = pieces.sparkSession, len(weights["class_bias"])
-    shards = -(-words // max(SHARD, words // MOST_SHARDS))
+    spark, side = pieces.sparkSession, len(weights["bias1"])
+    shards = -(-words // max(SHARD, FOR_EACH_WEIGHT * len(flat(weights)), words // MOST_SHARDS))
     place = F.xxhash64("doc_id", "text_hash", "piece")
     dealt = (
         pieces.select("n", "before", "symbols", place.alias("place")).where("n > 0")
@@ -292,7 +301,7 @@ def train(pieces: DataFrame, weights: Weights, words: int, rounds: int = ROUNDS)
             context, target = np.zeros((0, len(OFFSETS)), np.uint16), np.zeros(0, np.uint16)
             windows = 0
             for batch in batches:
-                more, goals = windows_of(batch, side * side)
+                more, goals = windows_of(batch, side**3)
                 context, target = np.concatenate([context, more]), np.concatenate([target, goals])
                 whole = len(target) - len(target) % BATCH
                 for at in range(0, whole, BATCH):
@@ -338,7 +347,7 @@ def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shaped(model.value, side)
         for batch in batches:
-            context, target = windows_of(batch, side * side)
+            context, target = windows_of(batch, side**3)
             each = np.rint(log_probs(w, context, target) * UNIT).astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("n"), pa.array(np.diff(sums) + batch.column("term").to_numpy())], ["key", "doc_id", "n", "score"])

@@ -15,18 +15,17 @@ from stridefold.llm.scratch import Scratch
 from stridefold.llm.textkernel import blocks
 
 SIDE = lm.LEAST_SIDE
-SYMBOLS = SIDE * SIDE
+SYMBOLS = SIDE**3
 
 
 def plain_log_prob(w, context, target):
-    """Two plain softmaxes: the class, then the member of the class."""
-    side = len(w["class_bias"])
+    """Three plain softmaxes, one for each digit."""
+    side, target = len(w["bias1"]), int(target)
     h = np.tanh(w["hidden"] + sum(w["embedding"][s] * w["scale"][j] for j, s in enumerate(context)))
-    out = h @ w["output"]
-    first = out[:side] + w["class_bias"]
-    second = out[side:] + w["member_bias"][target // side]
+    out = (h @ w["output"]).reshape(3, side)
+    a, b, c = target // side**2, target // side % side, target % side
     softmax = lambda x, i: x[i] - math.log(np.exp(x.astype(float)).sum())
-    return softmax(first, target // side) + softmax(second, target % side)
+    return softmax(out[0] + w["bias1"], a) + softmax(out[1] + w["bias2"][a], b) + softmax(out[2] + w["bias3"][side * a + b], c)
 
 
 def plain_scores(docs, rounds=lm.ROUNDS):
@@ -174,8 +173,8 @@ def test_vocabulary_grows(spark, monkeypatch):
     found = lm.gather(one_word_texts(spark).select("text"), Scratch(spark, "t"))
     assert found.vocabulary >= sum(1 + i % 7 >= 3 for i in range(3000)) and found.sizes.sum() == sum(1 + i % 7 for i in range(3000))
     assert lm.pseudo_likelihood(one_word_texts(spark)).where("log_prob < 0").count() == found.sizes.sum()
-    monkeypatch.setattr(lm, "MOST_SIDE", 40)
-    assert lm.gather(one_word_texts(spark).select("text"), Scratch(spark, "t")).vocabulary == 1600 - lm.BUCKETS
+    monkeypatch.setattr(lm, "MOST_SIDE", 11)
+    assert lm.gather(one_word_texts(spark).select("text"), Scratch(spark, "t")).vocabulary == 11**3 - lm.BUCKETS
 
 
 def test_trains_on_every_word(spark):
