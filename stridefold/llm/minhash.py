@@ -9,10 +9,15 @@ pass a lossless filter (the bits in which two odd sketches differ never exceed
 the size of the symmetric difference) and are confirmed on the full sets.
 
 A star can miss a link between two of its points, so after the stars are linked
-up, buckets that still hold several components are joined with themselves
-across components only, behind the same lossless filter; what passes is
-confirmed too. Documents with equal sets form a class first, and only a class's
-smallest id takes part, so large groups of copies cost one row.
+up, buckets that still hold several components are searched across components
+only, behind the same lossless filter; what passes is confirmed too. A bucket of
+at most DIRECT rows is joined with itself, which bounds the pairs by DIRECT a
+row. The documents of larger ones (say, all that share a long passage) meet by
+their rarest shingles instead: two sets as similar as the threshold share one of
+the first n - ceil(threshold * n) + 1 elements in any common order, and the order
+is by frequency, rarest first, so what all of them share brings none together.
+Documents with equal sets form a class first, and only a class's smallest id
+takes part, so large groups of copies cost one row.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ MISS = 1e-5
 SKETCH_LONGS = 16
 #: A list of ids is broadcast up to so many rows (8 bytes each); it is counted first.
 BROADCAST_IDS = 500_000
+#: Mixed buckets of up to so many rows are joined with themselves.
+DIRECT = 64
+#: Frequencies of shingles are kept in so many counters (a shared counter only makes the order coarser).
+COUNTERS = 1 << 18
 _U = np.uint64
 
 
@@ -127,6 +136,36 @@ def _set_rows(shingle: int, lower: bool, seed: int):
     return run
 
 
+def _frequencies(shingle: int, lower: bool, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(1), lower, seed=seed):
+                sets, _ = shingle_sets(block, shingle)
+                total += np.bincount((sets & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    return run
+
+
+def _rarest(shingle: int, lower: bool, seed: int, percent: int, frequency):
+    """The elements of each set of which two similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), lower, seed=seed):
+                sets, bounds = shingle_sets(block, shingle)
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(block.docs), size)
+                order = np.lexsort((sets, frequency.value[(sets & _U(COUNTERS - 1)).astype(np.int64)], doc))
+                lead = size - (percent * size + 99) // 100 + 1
+                own = order[np.arange(len(order)) - bounds[doc] < lead[doc]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[own] + block.lo)), pa.array(sets[own].view(np.int64))], ["id", "element"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,23 +253,38 @@ def near_duplicates(
     labels = components(links, scratch, "first-labels")
 
     labelled = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), (F.count("*") <= DIRECT).alias("direct")).where("lo < hi").select("key", "direct")
     step = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    rest = scratch.save(labelled.join(mixed, "key", "left_semi").join(sketches, "id").withColumn("step", step), "rest")
-    # sizes of a link differ by less than one step, so each bucket is parted by step and met by its neighbours
-    near = rest.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    a, b = rest.alias("a"), near.alias("b")
-    across = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
-        .select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        .distinct()
-        .join(stars, ["u", "v"], "left_anti")
-    )
+    rest = scratch.save(labelled.join(mixed, "key"), "rest")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs of rows of one key and of different components; the sizes of a link differ by less than one step."""
+        rows = rows.join(sketches, "id").withColumn("step", step)
+        near = rows.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+        a, b = rows.alias("a"), near.alias("b")
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
+        return a.join(b, apart & _possible("a", "b", percent)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+    across = met(scratch.save(rest.where("direct").select("key", "id", "root"), "direct"))
+    large = scratch.save(rest.where("not direct").select("id", "root").distinct(), "large")
+    many = large.count()
+    if many:
+        ids = F.broadcast(large.select("id")) if many <= BROADCAST_IDS else large.select("id")
+        own = scratch.save(texts.join(ids, "id", "left_semi"), "large-texts")
+        counts = own.mapInArrow(_frequencies(shingle, lower, seed), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+        frequency = np.zeros(COUNTERS, np.int64)
+        frequency[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        leads = own.mapInArrow(_rarest(shingle, lower, seed, percent, spark.sparkContext.broadcast(frequency)), "id long, element long")
+        leads = scratch.save(leads.distinct(), "leads")
+        common = leads.groupBy("element").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("element")
+        rare = leads.join(common, "element").join(large, "id").select(F.col("element").alias("key"), "id", "root")
+        across = across.union(met(scratch.save(rare, "rare")))
+    across = across.distinct().join(stars, ["u", "v"], "left_anti")
     across = scratch.save(across, "across")
     more = confirmed(across, "second")
     if not more.isEmpty():
         labels = components(links.union(more), scratch, "second-labels")
-    scratch.drop("reps", "shared", "rest", "stars", "across")
+    scratch.drop("reps", "shared", "rest", "direct", "large", "large-texts", "leads", "rare", "stars", "across")
     return (
         signed.select("id", "n", "digest")
         .join(classes, "digest", "left")
@@ -248,9 +302,25 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows, with all their columns, but one document of each component (its smallest id) in place of all."""
+    """The rows, with all their columns, but one row of each group of near duplicates in place of all.
+
+    Rows count, not ids: of repeated rows, and of copies without an id, one stays;
+    rows that share an id but not their text are told apart. The row that stays
+    has the group's smallest id (null last), the first as written of those. Null
+    texts and texts without words are in no group and stay; extra columns are
+    kept, whatever their names; an empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "dropped")
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    gone = scratch.save(gone, "gone")
+    row = next(n for n in ("row", *(f"row{i}" for i in range(len(docs.columns)))) if n.lower() not in map(str.lower, docs.columns))
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, id_col=row, text_col=text_col, **how).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    found = scratch.save(found, "found")
+    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    owned = found.join(several, "component").join(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id")), "row")
+    owned = scratch.save(owned, "owned")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    stays = owned.groupBy("component").agg(F.min(first)["row"].alias("row")).select("row")
+    gone = scratch.save(owned.select("row").join(stays, "row", "left_anti"), "gone").withColumnRenamed("row", row)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    scratch.drop("found", "owned")
+    return rows.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
