@@ -30,7 +30,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ WITH whole AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM whole q JOIN whole p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  FROM whole q JOIN whole p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id AND len(p.v) = len(q.v)  -- ids are unique in this table
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
