@@ -1,54 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``. ``run`` writes each stage's rows to the
-shared folder and reads them again for the next.
+The stages are in the subpackage of the training-data operators.
 """
 
-from __future__ import annotations
+from stridefold.llm.stages import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from stridefold.llm import toxicity as tox
-from stridefold.llm.minhash import drop_near_duplicates
-from stridefold.llm.packing import pack
-from stridefold.llm.quality import drop_rejected
-from stridefold.llm.scratch import Scratch
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule accepts."""
-    return drop_rejected(docs)
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the model is fitted on this stage's own rows."""
-    return tox.drop_toxic(docs, tox.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    return drop_near_duplicates(docs, shingle=5, percent=80)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]
-
-#: The learned toxicity scores, MinHash and the tokenizer's ids are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch, before = Scratch(spark, "pipeline"), None
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.drop(before)
-        before = name
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

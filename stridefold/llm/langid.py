@@ -22,7 +22,9 @@ from stridefold.llm.textkernel import Block, blocks, mix
 
 #: Expected rows that the filters are filled from: of each language, of all, of each at least, and the most characters of a text.
 ROWS_PER_LANGUAGE, TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS = 1500, 12_000, 20, 20_000
-GRAM, HASHES, SLOT_BITS, LEAST_COUNT, SHARE = 4, 3, 20, 3, 0.25
+GRAM, HASHES, LEAST_COUNT, SHARE = 4, 3, 3, 0.25
+#: A table has 2**SLOT_BITS slots, or as few as keep all tables together under TABLE_BYTES (but 2**LEAST_BITS).
+SLOT_BITS, LEAST_BITS, TABLE_BYTES = 20, 12, 1 << 27
 _U = np.uint64
 _GAP = np.ones(256, bool)
 _GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -31,8 +33,9 @@ _GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 @dataclass
 class Filters:
     languages: list[str]  # by number of training rows, then name
-    slots: list[np.ndarray]  # for each 64 languages, a table of 2**SLOT_BITS masks
+    slots: list[np.ndarray]  # for each 64 languages, a table of 2**bits masks
     false_rate: np.ndarray
+    bits: int = SLOT_BITS
 
 
 def grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +50,11 @@ def grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return value, np.diff(total[block.first])
 
 
-def places(value: np.ndarray) -> Iterator[np.ndarray]:
+def places(value: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """The slots of each n-gram, one hash after the other (double hashing)."""
     a, b = mix(value), mix(value ^ _U(0xA0761D6478BD642F)) | _U(1)
     for j in range(HASHES):
-        yield ((a + _U(j) * b) >> _U(64 - SLOT_BITS)).astype(np.int64)
+        yield ((a + _U(j) * b) >> _U(64 - bits)).astype(np.int64)
 
 
 def fill(samples: dict[str, pa.Array]) -> Filters:
@@ -70,25 +73,28 @@ def fill(samples: dict[str, pa.Array]) -> Filters:
     for key, share in zip(keys, shares):
         at = np.searchsorted(every, key)
         most[at] = np.maximum(most[at], share)
-    slots = [np.zeros(1 << SLOT_BITS, _U) for _ in range(-(-len(names) // 64))]
+    tables = -(-len(names) // 64)
+    bits = next(b for b in range(SLOT_BITS, LEAST_BITS - 1, -1) if b == LEAST_BITS or tables << b + 3 <= TABLE_BYTES)
+    slots = [np.zeros(1 << bits, _U) for _ in range(tables)]
     rate = np.zeros(len(names))
     for i, (key, n, share) in enumerate(zip(keys, counts, shares)):
         chosen = key[(n >= LEAST_COUNT) & (share >= SHARE * most[np.searchsorted(every, key)])]
         bit = _U(1) << _U(i % 64)
-        for at in places(chosen):
+        for at in places(chosen, bits):
             slots[i // 64][at] |= bit
-        rate[i] = np.count_nonzero(slots[i // 64] & bit) / (1 << SLOT_BITS)
-    return Filters(names, slots, rate**HASHES)
+        rate[i] = np.count_nonzero(slots[i // 64] & bit) / (1 << bits)
+    return Filters(names, slots, rate**HASHES, bits)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filters:
-    """Fill from about ROWS_PER_LANGUAGE rows a language, chosen by a hash of the id.
+    """Fill from about ROWS_PER_LANGUAGE rows a language, chosen by a hash of id and text.
 
     Every language that occurs is learned. Rows of all languages are about
-    TRAIN_ROWS at most, or LEAST_ROWS of each where there are many. Only rows with
-    a language count, and only where crc32 of the id, as text, is not 2 modulo 4.
-    Of longer texts than TRAIN_CHARS characters, so many are read here, from a
-    place that a hash of the id gives; prediction reads all.
+    TRAIN_ROWS at most, or LEAST_ROWS of each where there are many; repeated rows
+    count once. Only rows with a language and an id count, and only where crc32
+    of the id, as text, is not 2 modulo 4. Of longer texts than TRAIN_CHARS
+    characters, so many are read here, from a place that a hash of the id gives;
+    prediction reads all.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and id is not null and text is not null").where(F.crc32(F.col("id").cast("string")) % 4 != 2)
@@ -97,9 +103,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     start = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
     chosen = (
         rows.join(F.broadcast(sizes), "lang")
-        .where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < each * (1 << 30))
-        .select("lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
+        .withColumn("place", F.xxhash64("id", "text"))
+        .where(F.pmod("place", F.lit(1 << 30)).cast("double") * F.col("n") < float(each * (1 << 30)))
+        .select("lang", "place", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
+        .groupBy("lang", "place")
+        .agg(F.min("text").alias("text"))
         .toArrow()
+        .sort_by([("lang", "ascending"), ("place", "ascending")])
     )
     langs = np.array(chosen.column("lang").to_pylist(), object)
     texts = chosen.column("text").combine_chunks()
@@ -109,7 +119,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 def hits(filters: Filters, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Corrected popcounts (documents by languages) and the number of n-grams."""
     value, n = grams(block)
-    at = list(places(value))
+    at = list(places(value, filters.bits))
     doc = np.concatenate([[0], np.cumsum(n)])
     out = np.zeros((block.docs, len(filters.languages)))
     for k, slots in enumerate(filters.slots):
@@ -134,7 +144,7 @@ def identify(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(filters)  # 8 MiB for each 64 languages
+    shared = spark.sparkContext.broadcast(filters)  # TABLE_BYTES at most, up to 262,144 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value

@@ -7,7 +7,9 @@ sequences are cut off long documents first; the remainders, by descending cost,
 go to the lowest-cost sequence that has room for the whole of one. Where none
 has, the piece is cut over the lowest-cost sequences that have any room. A chunk
 of T tokens uses ceil(T / capacity) sequences, so its padding stays below one
-sequence.
+sequence; a partition pads less than one sequence for each CHUNK_TOKENS tokens
+and one for what is left, so partitions of far fewer tokens than that are better
+coalesced first.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import bounded_batches
 from stridefold.llm.textkernel import Block, blocks
 
-SAMPLE_ROWS = 400
+#: About so many rows, from all partitions, give the rules' costs and selectivities; texts over so many bytes are left out of that.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -163,6 +164,13 @@ def ranked(rules: Sequence[Rule], sample: pa.Array) -> list[Rule]:
     return order
 
 
+def sampled(texts: DataFrame, rows: int) -> pa.Array:
+    """About so many of the texts (one column), from all partitions; the verdicts do not depend on which."""
+    short = texts.where(F.coalesce(F.octet_length(texts.columns[0]), F.lit(0)) <= SAMPLE_BYTES)
+    found = short.sample(min(1.0, rows / max(1, texts.count())), seed=1).toArrow()
+    return found.column(0).combine_chunks()
+
+
 def verdicts(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
     """True for documents that no rule rejects."""
     kept = np.zeros(len(texts), bool)
@@ -190,12 +198,11 @@ def quality(
 
     Null and empty texts have zero counts (and so fail the word-count rule).
     Repeated rows get the same verdict each; extra columns are ignored; an empty
-    table gives no rows. ``sample_rows`` bounds what the order is estimated on.
+    table gives no rows. ``sample_rows`` is about how many rows the order is estimated on.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = pa.array([r[0] for r in rows.select("text").take(sample_rows)], pa.string())
-    order = ranked(rules, sample)
+    order = ranked(rules, sampled(rows.select("text"), sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,14 +221,19 @@ def quality(
 
 
 def drop_rejected(docs: DataFrame, *, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows, with all their columns, whose text no rule rejects; nothing is joined or shuffled."""
+    """The rows, with all their columns, whose text no rule rejects; nothing is joined or shuffled.
+
+    Null and empty texts have no words, and so are rejected by the default rules;
+    repeated rows fare alike; columns keep their names, whatever they are; an
+    empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
-    order = ranked(rules, pa.array([r[0] for r in docs.select(F.col(text_col).cast("string")).take(sample_rows)], pa.string()))
+    order = ranked(rules, sampled(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), sample_rows))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [verdicts(Texts(block), order) for block in blocks(batch.column(at))]
+            kept = [verdicts(Texts(block), order) for block in blocks(batch.column(at).cast(pa.string()))]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridefold.llm import chat, langid, toxicity
+from stridefold.llm import chat, langid, stages, toxicity
 from stridefold.llm.balltree import top_k
 from stridefold.llm.bytebpe import round_trip
 from stridefold.llm.lm import pseudo_likelihood
@@ -93,7 +92,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 
 #: SQL that gives the same rows, where SQL can.

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stridefold-")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -28,7 +29,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that texts travel in small, unless the session says otherwise.
 
     The default of 10,000 rows is tens of megabytes of text, held several times
-    over by the JVM and by Python.
+    over by the JVM and by Python. The setting stays: a frame is run, and reads
+    it, after the operator has returned.
     """
     for key, default, ours in (("maxRecordsPerBatch", "10000", "512"), ("maxBytesPerBatch", None, str(4 << 20))):
         key = f"spark.sql.execution.arrow.{key}"
@@ -37,11 +39,19 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Named tables of one run; ``drop`` frees those that nothing reads any more."""
+    """Named tables of one run; ``drop`` frees those that nothing reads any more.
 
-    def __init__(self, spark: SparkSession, label: str):
+    What is left (a returned frame may read it at any time) goes when the
+    session's JVM ends. A folder given as ``root`` is kept.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/stridefold/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = root or f"{shared_dir(spark)}/stridefold/{label}-{uuid.uuid4().hex[:12]}"
+        if not root:
+            fs, where = self._fs(self.root)
+            fs.mkdirs(where)
+            fs.deleteOnExit(where)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from stridefold.llm.scratch import bounded_batches
 from stridefold.llm.textkernel import Block, blocks, mix
 
-#: Bounds of the labelled rows that the model is fitted on, and of their texts.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 5000, 20_000
+#: Bounds of the labelled rows that the model is fitted on, and of the characters of all their texts together.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 5000, 32_000_000
 BITS, PREFIXES, LEAST_DOCS, LEAST_WORDS = 18, (3, 4, 5, 6), 4, 3
 EPOCHS, BATCH, RATE, DECAY, BIAS = 20, 256, 1.0, 1e-5, -8.0
 
@@ -140,26 +140,33 @@ def score_block(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most TOXIC_ROWS + CLEAN_ROWS labelled rows, the first by a hash of their id.
+    """Fit on at most TOXIC_ROWS + CLEAN_ROWS labelled documents, the first by a hash of their id.
 
-    Labels are used only where crc32 of the id, as text, is not 0 modulo 5.
-    Texts over TRAIN_CHARS characters are left out of the fit, never of scoring.
+    Labels are used only where crc32 of the id, as text, is not 0 modulo 5; an id
+    that is labelled both ways counts as toxic. Texts count whole, however long:
+    of the chosen documents, toxic ones first, each is taken that still fits into
+    TRAIN_CHARS characters. Where rows share an id, one text of them counts.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where("id is not null and toxic in (0, 1)")
         .where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     )
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    chosen = [known.where(F.col("toxic") == y).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("id").agg(F.max("toxic").alias("toxic")))  # 7,000 rows at most
-    rows = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .where(F.length("text") <= TRAIN_CHARS)
-        .join(chosen, "id")
-        .toArrow()
-        .sort_by("id")
-    )
-    return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(chosen, "id")
+    sizes = rows.select("id", "toxic", F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n")).alias("x")).groupBy("id", "toxic").agg(F.min("x").alias("x"))
+    sizes = sizes.select("id", "toxic", "x.*").toArrow().sort_by([("toxic", "descending"), ("hash", "ascending"), ("id", "ascending")])  # 7,000 rows at most
+    room, fits = TRAIN_CHARS, []
+    for n in sizes.column("n").to_pylist():
+        fits.append(n <= room)
+        room -= n * fits[-1]
+    kept = sizes.filter(pa.array(fits, pa.bool_()))
+    if not kept.num_rows:
+        return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(kept.select(["id", "hash"])))
+    texts = rows.withColumn("hash", F.xxhash64("text")).join(wanted, ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("id")
+    return fit(texts.column("text").combine_chunks(), texts.column("toxic").to_numpy())
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +200,11 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold; nothing is joined or shuffled."""
+    """The rows, with all their columns, that score below the threshold; nothing is joined or shuffled.
+
+    Null texts and texts without words score 0 and stay; repeated rows fare alike;
+    columns keep their names, whatever they are; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -201,7 +212,8 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [score_block(shared.value, block)[0] for block in blocks(batch.column(at), True, _GAP)]
+            texts = batch.column(at).cast(pa.string())
+            scores = [score_block(shared.value, block)[0] for block in blocks(texts, True, _GAP)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 

@@ -310,8 +310,29 @@ def test_unfinished_batch_does_not_count(spark):
     assert rollup.commit("2", counted(spark, [(1, "v", "a", "en", 3)])) and totals(rollup) == {("a", "en", "v"): (1, 3)}
 
 
+def test_compaction_and_buckets(spark):
+    """Many batches against a plain dictionary; what a commit reads stays bounded, and a state that is not marked is none."""
+    rng, store = random.Random(5), Scratch(spark, "t")
+    rollup, held = TokenRollup(spark, store, buckets=3, compact=3), {}
+    for b in range(9):
+        batch = {(rng.randrange(12), rng.choice(["v", "w/1 =x"])): (rng.choice(["a", None]), "en", rng.choice([None, 0, 3, 8])) for _ in range(6)}
+        assert rollup.commit(f"b{b}", counted(spark, [(d, v, s, x, n) for (d, v), (s, x, n) in batch.items()]))
+        held |= batch
+        if b == 4:
+            store.save(counted(spark, [(1, "v", "a", "en", 99)]), "state/000000000009/deltas")
+            assert not rollup.commit("b2", counted(spark, [(1, "v", "a", "en", 1)]))
+        expected = defaultdict(lambda: [0, 0])
+        for (_, v), (s, x, n) in held.items():
+            if n is not None:
+                expected[s, x, v][0] += 1
+                expected[s, x, v][1] += n
+        assert totals(rollup) == {k: tuple(x) for k, x in expected.items()}
+        assert len(rollup._parts("entries")) <= 3
+    assert rollup._covered()[0] is not None and len(rollup._names("commits")) == 9
+
+
 def test_maintained_totals(spark, documents, odd, empty, word_model):
-    for frame in (documents, odd.where("doc_id > 0"), empty):
+    for frame in (documents, odd, empty):
         expected = defaultdict(lambda: [0, 0])
         for r in frame.collect():
             words = brute.WORD.findall(r.text or "")
