@@ -23,6 +23,8 @@ from stridefold.llm.textkernel import Block, blocks, mix
 #: Bounds of the labelled rows that the model is fitted on, and of the characters of all their texts together.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 5000, 32_000_000
 BITS, PREFIXES, LEAST_DOCS, LEAST_WORDS = 18, (3, 4, 5, 6), 4, 3
+#: Features whose documents are toxic about as often as others (chi-square below this) have no weight: else rare ones learn each label's noise.
+CHI_SQUARE = 7.0
 EPOCHS, BATCH, RATE, DECAY, BIAS = 20, 256, 1.0, 1e-5, -8.0
 
 _GAP = np.ones(256, bool)
@@ -74,7 +76,7 @@ def sentences(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
-    """Adagrad through the noisy-or; features in fewer than LEAST_DOCS documents stay at 0."""
+    """Adagrad through the noisy-or; features in fewer than LEAST_DOCS documents, or that tell nothing of the labels, stay at 0."""
     words, sent, bags, docs, base = [], [], [], 0, 0
     for block in blocks(texts, True, _GAP):
         s, d = sentences(block)
@@ -88,12 +90,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
         return model
     sent, bags = np.concatenate(sent), np.concatenate(bags)
     words = np.concatenate(words)
-    seen = np.zeros(1 << BITS, np.int64)
+    seen, seen_toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     doc = bags[sent]
     for j in range(words.shape[1]):
         pairs = np.unique(doc.astype(np.int64) << BITS | words[:, j])
-        seen += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
-    used = seen >= LEAST_DOCS
+        for counts, some in ((seen, pairs), (seen_toxic, pairs[toxic[pairs >> BITS] == 1])):
+            counts += np.bincount(some & ((1 << BITS) - 1), minlength=1 << BITS)
+    expected = np.maximum(seen, 1) * toxic.mean()
+    told = (seen_toxic - expected) ** 2 >= CHI_SQUARE * expected * (1 - toxic.mean())
+    used = (seen >= LEAST_DOCS) & told
     used[0] = False
     index = np.where(used, np.cumsum(used), 0).astype(np.int32)  # 0: unused
     compact = index[words]
