@@ -25,6 +25,7 @@ SWEEP_COSTS = (1e-4, 5e-4, 1e-3, 2e-3, 5e-3)
 SWEEP_SLIPPAGES = (0.0, 0.025, 0.05, 0.1, 0.2)
 CACHE_HOURS, CACHE_HOURS_FIXED_END, ATTEMPTS, CLIP_TOLERANCE = 24, 365 * 24, 3, 0.005
 FLAT_STD = 1e-10
+EQUAL_MEANS = 1e-12  # relative: far above the rounding of a window's sum, far below any difference of prices
 
 
 @dataclass(frozen=True)

@@ -6,8 +6,9 @@ over resamples; prefix sums replace the gathering of every resample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from stridefold import config
 
 YEAR = np.sqrt(config.BARS_PER_YEAR)
 CHUNK = 500
+#: Of a number of periods, the draws (starts, lengths, where each resample begins) of all resamples.
+Draws = Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @lru_cache(8)
@@ -32,14 +35,17 @@ def sharpe_ratio(r: np.ndarray) -> float:
     return 0.0 if spread < config.FLAT_STD else float(r.mean() / spread * YEAR)
 
 
-def block_bootstrap_p(returns: np.ndarray, seed: int = config.SEED, count: int = config.RESAMPLES) -> float:
-    """Share of circular block resamples of the centred returns with a Sharpe ratio at or above the observed."""
+def block_bootstrap_p(returns: np.ndarray, seed: int = config.SEED, count: int = config.RESAMPLES, starts: np.ndarray | None = None) -> float:
+    """Share of circular block resamples of the centred returns with a Sharpe ratio at or above the observed.
+
+    ``starts`` (a row a resample, a column a block) replaces the stream's own.
+    """
     r = np.asarray(returns, float)
     n = len(r)
     if n == 0:
         raise ValueError("no returns")
     size = max(1, int(np.sqrt(n)))
-    starts = _starts(n, count, seed)
+    starts = _starts(n, count, seed) if starts is None else starts
     lengths = np.minimum(size, n - size * np.arange(starts.shape[1]))  # the last block is cut at n
     x = np.tile(r - r.mean(), 2)
     first, second = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
@@ -51,13 +57,13 @@ def block_bootstrap_p(returns: np.ndarray, seed: int = config.SEED, count: int =
     return float((booted >= sharpe_ratio(r - config.RISK_FREE)).mean())
 
 
-def bootstrap_p_values(metrics: DataFrame, seed: int = config.SEED, count: int = config.RESAMPLES) -> DataFrame:
+def bootstrap_p_values(metrics: DataFrame, seed: int = config.SEED, count: int = config.RESAMPLES, starts: Callable[[int], np.ndarray] | None = None) -> DataFrame:
     """Adds ``p_value`` to rows with ``returns``: 1 for flat folds. A fold is a row, so folds run in parallel."""
 
     @F.pandas_udf("double")
     def tested(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for returns, flat in batches:
-            yield pd.Series([1.0 if f or r is None else block_bootstrap_p(np.asarray(r, float), seed, count) for r, f in zip(returns, flat)])
+            yield pd.Series([1.0 if f or r is None else block_bootstrap_p(np.asarray(r, float), seed, count, starts(len(r)) if starts else None) for r, f in zip(returns, flat)])
 
     return metrics.withColumn("p_value", tested("returns", "flat_cash"))
 
@@ -80,10 +86,26 @@ def stationary_draws(periods: int, count: int, seed: int) -> tuple[np.ndarray, n
     return np.array(starts), np.array(lengths), np.array(heads)
 
 
-def parallel_draws(periods: int, count: int, seed: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws of one part of the resamples from a stream of its own."""
-    child = np.random.SeedSequence(seed, spawn_key=(part,)).generate_state(1)[0]
-    return stationary_draws(periods, count, int(child))
+def part_of(draws: tuple[np.ndarray, np.ndarray, np.ndarray], part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The draws of one part of the resamples; all parts together are all of them."""
+    starts, lengths, heads = draws
+    lo, hi = len(heads) * part // parts, len(heads) * (part + 1) // parts
+    begin, end = (int(np.append(heads, len(starts))[i]) for i in (lo, hi))
+    return starts[begin:end], lengths[begin:end], heads[lo:hi] - begin
+
+
+@lru_cache(4)
+def hashed_starts(periods: int, blocks: int, count: int) -> np.ndarray:
+    """Block starts by md5 of "resample_block", the same in any engine."""
+    return np.array([[int(md5(f"{b}_{k}".encode()).hexdigest()[:8], 16) % periods for k in range(blocks)] for b in range(count)])
+
+
+def hashed_draws(periods: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of the square root of the periods at hashed starts; the last one is cut at their number."""
+    size = max(1, int(np.sqrt(periods)))
+    blocks = -(-periods // size)
+    lengths = np.minimum(size, periods - size * np.arange(blocks))
+    return hashed_starts(periods, blocks, count).ravel(), np.tile(lengths, count), blocks * np.arange(count)
 
 
 def resampled_means(matrix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,6 +134,8 @@ def white_reality_check(candidates: np.ndarray, seed: int = config.SEED, n_boots
             raise ValueError(f"benchmark has {len(bench)} periods, candidates have {len(m)}")
         m = m - bench[:, None]
     mean = m.mean(0)
+    if draws is not None and not len(draws[2]):
+        return 0.0
     draws = draws or stationary_draws(len(m), config.RESAMPLES if n_bootstrap is None else n_bootstrap, seed)
     hits = sum(int(((x - mean).max(1) >= mean.max()).sum()) for x in resampled_means(m, *draws))
     return hits / len(draws[2])
@@ -127,28 +151,31 @@ def candidate_matrix(returns: DataFrame, keys: Sequence[str] = ("symbol", "strat
     return whole.join(folds, list(keys)).where("folds = all_folds").select(*keys, "cand_id", F.size("x").alias("n_periods"), F.transform("x", lambda v: v.r).alias("r"), F.transform("x", lambda v: v.bh).alias("bh"))
 
 
-def reality_checks(candidates: DataFrame, seed: int = config.SEED, count: int = config.RESAMPLES, parts: int = 1) -> DataFrame:
+def reality_checks(candidates: DataFrame, seed: int = config.SEED, count: int = config.RESAMPLES, parts: int = 1, draws: Draws | None = None) -> DataFrame:
     """(symbol, strategy, rc_cash, rc_bh): both nulls for each run; NaN where no candidate can be tested.
 
-    With one part, draws follow a single stream; with more, each part of the
-    resamples has its own stream and task, and the counts are averaged.
+    The draws are those of one stream, or of ``draws``; ``parts`` tasks of a run
+    make them alike and each tests its part of the resamples, so that the result
+    does not depend on their number.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cand_id")
         matrix, bench = np.stack(pdf["r"].map(np.asarray).tolist(), 1), np.asarray(pdf["bh"].iloc[0], float)
-        part, out = int(pdf["part"].iloc[0]), {}
+        part, out = int(pdf["part"].iloc[0]), {"n": 0}
         for name, null in (("rc_cash", None), ("rc_bh", bench)):
             try:
-                draws = None if parts == 1 else parallel_draws(len(matrix), -(-count // parts), seed, part)
-                out[name] = white_reality_check(matrix, seed, count, null, draws)
+                own = part_of(draws(len(matrix)) if draws else stationary_draws(len(matrix), count, seed), part, parts) if len(matrix) else None
+                out["n"] = len(own[2]) if own else 0
+                out[name] = white_reality_check(matrix, seed, count, null, own) * out["n"]
             except ValueError:
                 out[name] = float("nan")
-        return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "strategy": pdf["strategy"].iloc[0], "part": part, **out}])
+        return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "strategy": pdf["strategy"].iloc[0], **out}])
 
     rows = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    tested = rows.groupBy("symbol", "strategy", "part").applyInPandas(run, "symbol string, strategy string, part int, rc_cash double, rc_bh double")
-    return tested.groupBy("symbol", "strategy").agg(F.avg("rc_cash").alias("rc_cash"), F.avg("rc_bh").alias("rc_bh"))
+    tested = rows.groupBy("symbol", "strategy", "part").applyInPandas(run, "symbol string, strategy string, n long, rc_cash double, rc_bh double")
+    share = lambda c: F.when(F.sum("n") > 0, F.round(F.sum(c)) / F.sum("n")).otherwise(F.sum(c))  # noqa: E731  counts are whole
+    return tested.groupBy("symbol", "strategy").agg(share("rc_cash").alias("rc_cash"), share("rc_bh").alias("rc_bh"))
 
 
 def build_candidate_return_matrix(folds: Sequence[dict]) -> np.ndarray:
@@ -159,10 +186,3 @@ def build_candidate_return_matrix(folds: Sequence[dict]) -> np.ndarray:
     if not common:
         raise ValueError("no candidate in every fold")
     return np.concatenate([np.stack([np.asarray(f[k], float) for k in common], 1) for f in folds])
-
-
-def hash_starts(periods: int, blocks: int, resamples: int, spark) -> DataFrame:
-    """(boot, block, start): starts by md5, the same in any engine."""
-    grid = spark.range(resamples * blocks).select((F.col("id") / blocks).cast("int").alias("boot"), (F.col("id") % blocks).cast("int").alias("block"))
-    word = F.conv(F.substring(F.md5(F.concat_ws("_", "boot", "block").cast("binary")), 1, 8), 16, 10).cast("long")
-    return grid.withColumn("start", (word % periods).cast("int"))

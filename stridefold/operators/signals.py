@@ -44,9 +44,14 @@ def returns_from_signals(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     return out.where("next is not null").select(*keys, "t", F.when(F.col("position"), F.col("next")).otherwise(0.0).alias("r"))
 
 
+def bad_signals(rows: DataFrame) -> DataFrame:
+    """The rows whose signal is none of -1, 0 and 1."""
+    return rows.where(F.col("sig").isNull() | ~F.col("sig").isin(-1, 0, 1))
+
+
 def check_signals(rows: DataFrame) -> DataFrame:
     """The rows, if every signal is -1, 0 or 1."""
-    bad = rows.where(F.col("sig").isNull() | ~F.col("sig").isin(-1, 0, 1)).limit(1)
+    bad = bad_signals(rows).limit(1)
     if not bad.isEmpty():
         raise ValueError(f"signals must be -1, 0 or 1, got {bad.first().sig}")
     return rows

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import partial
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridefold import config
 from stridefold.config import ExecutionConfig, FoldPlan
-from stridefold.functions.scalars import NAN, even_chi2_tail, fisher_half, number, ratio
+from stridefold.functions.scalars import even_chi2_tail, fisher_half, number
 from stridefold.operators import benchmark as bm
 from stridefold.operators import folds, metrics
 from stridefold.operators.execution import execute, trades
-from stridefold.operators.resample import bootstrap_p_values, candidate_matrix, hash_starts, reality_checks
-from stridefold.operators.signals import bar_return, crossings, delayed, held, returns_from_signals
-from stridefold.operators.summary import best_of, stitched_calmar, verdict
+from stridefold.operators.resample import bootstrap_p_values, candidate_matrix, hashed_draws, hashed_starts, reality_checks
+from stridefold.operators.signals import bad_signals, crossings, delayed, held, returns_from_signals
+from stridefold.operators.summary import MEANS, best_of, stitched_calmar, summarise, verdict
 from stridefold.plans import dashboard
-from stridefold.plans.strategies import Kalman, Momentum, MovingAverage, kalman_filter, kalman_log_likelihood
+from stridefold.plans.strategies import Kalman, Momentum, MovingAverage
 from stridefold.plans.sweep import heatmap, sweep_configs
 from stridefold.plans.walk_forward import walk_forward
 from stridefold.sources import bars as source
@@ -31,7 +33,6 @@ PLAN = FoldPlan()
 EXECUTION = ExecutionConfig()
 FIXED = MovingAverage.fixed()
 KALMAN_Q, KALMAN_R = 1e-4, 1e-3
-BOOTS = 200
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -132,14 +133,14 @@ def fold_context(spark, d):
 def rolling_ma(spark, d):
     rows = MovingAverage().featured(index(spark, d), PLAN)
     at = {n: i for i, n in enumerate(MovingAverage().windows())}
-    return rows.where("i >= 249").select("symbol", "i", *(F.col("f")[at[n]].alias(f"m{n}") for n in (20, 50, 100, 200, 250)))
+    return rows.where("i >= 249").select("symbol", "i", *(F.round(F.col("f")[at[n]], 9).alias(f"m{n}") for n in (20, 50, 100, 200, 250)))
 
 
 @query
 def ma_signals(spark, d):
     """Over the whole frame, without context: the first row is 0."""
     rows = FIXED.featured(index(spark, d), PLAN).withColumn("t", F.col("i"))
-    up = (F.col("i") >= 199) & (F.col("f")[0] > F.col("f")[1])
+    up = (F.col("i") >= 199) & FIXED.up({"f1": 0, "f2": 1})
     return rows.withColumn("up", up).withColumn("sig", crossings(F.col("up"), ("symbol",))).where("sig <> 0").select("symbol", "i", "sig")
 
 
@@ -211,7 +212,7 @@ def delayed_signals(spark, d):
 @query
 def signal_domain(spark, d):
     rows = fixed_signals(index(spark, d)).withColumn("sig", F.when(F.col("t") % 100 == 3, 2).when(F.col("t") % 100 == 5, F.lit(None)).otherwise(F.col("sig")))
-    return rows.groupBy("symbol", "fold").agg(F.count_if(F.col("sig").isNull() | ~F.col("sig").isin(-1, 0, 1)).alias("bad"))
+    return bad_signals(rows).groupBy("symbol", "fold").agg(F.count("*").alias("bad"))
 
 
 @query
@@ -271,13 +272,10 @@ def flat_cash_windows(spark, d):
 
 @query
 def summary_means(spark, d):
-    from stridefold.operators.summary import MEANS
-    from stridefold.functions.scalars import finite_mean
-
     kept = [m for m in MEANS if m != "p_value"]
-    out = fold_windows(index(spark, d)).select("symbol", *(F.col(m).alias(f"w_{m}") for m in kept), F.col("max_drawdown").alias("dd"), F.col("trade_count").alias("n"))
-    out = out.groupBy("symbol").agg(*(finite_mean(F.col(f"w_{m}")).alias(m) for m in kept), F.min("dd").alias("max_drawdown"), F.sum("n").alias("trade_count"))
-    return rounded(out, 8, *kept, "max_drawdown")
+    e = executed(index(spark, d))
+    windows = metrics.calculate_metrics(e, trades(e)).withColumn("p_value", F.lit(1.0))
+    return rounded(summarise(windows, metrics.equity_returns(e)).select("symbol", *kept, "max_drawdown", "trade_count"), 8, *kept, "max_drawdown")
 
 
 @query
@@ -316,48 +314,28 @@ def rc_common_keys(spark, d):
     return candidate_matrix(part).select("symbol", "cand_id")
 
 
-def _hash_check(spark, d, active: bool):
-    """Circular blocks at hashed starts over the stitched candidate returns, block by block as prefix sums."""
-    c = _candidates(index(spark, d)).withColumn("x", F.col("r") - F.col("bh") if active else F.col("r"))
-    w = Window.partitionBy("symbol", "cand_id").orderBy("fold", "t")
-    rows = c.select("symbol", "cand_id", "x", (F.row_number().over(w) - 1).alias("k"))
-    periods = len(range(0, (PLAN.test - 1))) * 6
-    size = int(np.sqrt(periods))
-    blocks = periods // size
-    ring = rows.select("symbol", "cand_id", "x", F.explode(F.array(F.col("k"), F.col("k") + periods)).alias("k"))
-    sums = ring.select("symbol", "cand_id", "k", (F.sum("x").over(Window.partitionBy("symbol", "cand_id").orderBy("k"))).alias("upto"), "x")
-    starts = hash_starts(periods, blocks, BOOTS, spark)
-    begin = starts.join(sums.select("symbol", "cand_id", F.col("k").alias("start"), (F.col("upto") - F.col("x")).alias("a")), "start")
-    end = sums.select("symbol", "cand_id", F.col("k").alias("end"), F.col("upto").alias("b"))
-    means = begin.withColumn("end", F.col("start") + size - 1).join(end, ["symbol", "cand_id", "end"]).groupBy("symbol", "cand_id", "boot").agg((F.sum(F.col("b") - F.col("a")) / (size * blocks)).alias("boot_mean"))
-    own = rows.groupBy("symbol", "cand_id").agg(F.avg("x").alias("mean"))
-    best = own.groupBy("symbol").agg(F.max("mean").alias("observed"))
-    stat = means.join(own, ["symbol", "cand_id"]).groupBy("symbol", "boot").agg(F.max(F.col("boot_mean") - F.col("mean")).alias("stat"))
-    return stat.join(best, "symbol").groupBy("symbol").agg(F.avg((F.round("stat", 12) >= F.round("observed", 12)).cast("double")).alias("p"), F.round(F.max("observed"), 10).alias("observed"))
+def _hash_check(spark, d, null: str):
+    """The Reality Check of the momentum candidates, its resamples drawn by md5 in place of the stream."""
+    checked = reality_checks(candidate_matrix(_candidates(index(spark, d))), parts=4, draws=partial(hashed_draws, count=config.RESAMPLES))
+    return checked.select("symbol", F.col(null).alias("p"))
 
 
 @query
 def rc_hash_bootstrap_cash(spark, d):
-    return _hash_check(spark, d, False)
+    return _hash_check(spark, d, "rc_cash")
 
 
 @query
 def rc_hash_bootstrap_bh(spark, d):
-    return _hash_check(spark, d, True)
+    return _hash_check(spark, d, "rc_bh")
 
 
 @query
 def block_bootstrap_hash(spark, d):
     """Each fold's Sharpe ratio against circular block resamples at hashed starts."""
-    r = metrics.equity_returns(executed(index(spark, d))).select("symbol", "fold", (F.col("t") - 1).alias("k"), "r")
-    n = PLAN.test - 1
-    size = int(np.sqrt(n))
-    blocks = n // size + 1
-    own = r.groupBy("symbol", "fold").agg(F.avg("r").alias("m"), metrics.sharpe(F.col("r")).alias("observed"))
-    centred = r.join(own.select("symbol", "fold", "m"), ["symbol", "fold"]).select("symbol", "fold", "k", (F.col("r") - F.col("m")).alias("x"))
-    places = hash_starts(n, blocks, BOOTS, spark).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).where(F.col("block") * size + F.col("o") < n).select("boot", ((F.col("start") + F.col("o")) % n).alias("k"))
-    booted = places.join(centred, "k").groupBy("symbol", "fold", "boot").agg(metrics.sharpe(F.col("x")).alias("s"))
-    return booted.join(own, ["symbol", "fold"]).groupBy("symbol", "fold").agg(F.avg((F.round("s", 9) >= F.round("observed", 9)).cast("double")).alias("p"))
+    starts = lambda n: hashed_starts(n, n // int(np.sqrt(n)) + 1, config.RESAMPLES)
+    windows = fold_windows(index(spark, d)).where(~F.col("flat_cash"))
+    return bootstrap_p_values(windows, starts=starts).select("symbol", "fold", F.col("p_value").alias("p"))
 
 
 def _test(bars):
@@ -423,9 +401,11 @@ def cost_heatmap_pivot(spark, d):
 @query
 def multi_symbol_summary(spark, d):
     """Four symbols in one plan."""
-    windows = fold_windows(source.supplier_symbols(items(spark, d)))
-    out = windows.groupBy("symbol").agg(F.avg("sharpe_ratio").alias("sharpe"), F.min("max_drawdown").alias("worst"), F.sum("trade_count").alias("trades"), F.count("*").alias("n_folds"))
-    return rounded(out.withColumnsRenamed({"trades": "trade_count"}), 8, "sharpe", "worst")
+    from stridefold.plans.multi_asset import run_multi_asset
+
+    _, table, _ = run_multi_asset(source.supplier_symbols(items(spark, d)), {"ma": FIXED}, resamples=100)
+    out = table.select("symbol", F.col("sharpe_ratio").alias("sharpe"), F.col("max_drawdown").alias("worst"), "trade_count", F.col("window_count").alias("n_folds"))
+    return rounded(out, 8, "sharpe", "worst")
 
 
 @query
@@ -503,50 +483,24 @@ def param_evolution(spark, d):
 
 
 def _filtered(spark, d):
-    """The local-level filter with fixed variances on each fold's context and test bars, as one SQL aggregate."""
-    rows = folds.context_rows(folds.counted(index(spark, d), PLAN), PLAN, config.WARM_UP)
-    y = F.transform(F.sort_array(F.collect_list(F.struct("t", F.ln("close").alias("y")))), lambda x: x.y)
-    series = rows.groupBy("symbol", "fold").agg(y.alias("y"))
-    x = (KALMAN_Q + (KALMAN_Q * KALMAN_Q + 4 * KALMAN_Q * KALMAN_R) ** 0.5) / 2
-    steady = x / (x + KALMAN_R)
-    start = F.struct(F.col("y")[0].alias("m"), number(1.0).alias("p"), F.array().cast("array<double>").alias("out"))
-
-    def step(a, v):
-        p = a.p + KALMAN_Q
-        k = F.when(F.size(a.out) < config.WARM_UP, p / (p + KALMAN_R)).otherwise(steady)
-        m = a.m + k * (v - a.m)
-        return F.struct(m.alias("m"), ((1 - k) * p).alias("p"), F.concat(a.out, F.array(m)).alias("out"))
-
-    return series.select("symbol", "fold", F.posexplode(F.aggregate("y", start, step, lambda a: a.out)).alias("k", "level")).withColumn("t", F.col("k") - config.WARM_UP)
+    """The Kalman rule with given variances: its level, signals and likelihood."""
+    rule = Kalman(q=KALMAN_Q, r=KALMAN_R)
+    return rule.run(rule.featured(index(spark, d), PLAN), PLAN)
 
 
 @query
 def kalman_filter_fixed(spark, d):
-    return rounded(_filtered(spark, d).where("t >= 0").select("symbol", "fold", "t", "level"), 9, "level")
+    return rounded(_filtered(spark, d).select("symbol", "fold", F.posexplode("level").alias("t", "level")), 9, "level")
 
 
 @query
 def kalman_signals_fixed(spark, d):
-    w = Window.partitionBy("symbol", "fold").orderBy("t")
-    rows = _filtered(spark, d).withColumn("up", F.coalesce(F.round("level", 12) > F.round(F.lag("level").over(w), 12), F.lit(False)))
-    rows = rows.withColumn("was", F.coalesce(F.lag("up").over(w), F.col("up")))
-    sig = F.when((F.col("t") == 0) & F.col("up"), 1).otherwise(F.col("up").cast("int") - F.col("was").cast("int"))
-    return rows.withColumn("sig", sig).where("t >= 0 and sig <> 0").select("symbol", "fold", "t", "sig")
+    return _filtered(spark, d).select("symbol", "fold", F.posexplode("sig").alias("t", "sig")).where("sig <> 0")
 
 
 @query
 def kalman_loglik_fixed(spark, d):
-    rows = folds.train_rows(folds.counted(index(spark, d), PLAN), PLAN)
-    y = F.transform(F.sort_array(F.collect_list(F.struct("j", F.ln("close").alias("y")))), lambda x: x.y)
-    series = rows.groupBy("symbol", "fold").agg(y.alias("y"))
-    start = F.struct(F.col("y")[0].alias("m"), number(1.0).alias("p"), number(0.0).alias("ll"))
-
-    def step(a, v):
-        s = a.p + KALMAN_Q + KALMAN_R
-        k, e = (a.p + KALMAN_Q) / s, v - a.m
-        return F.struct((a.m + k * e).alias("m"), ((1 - k) * (a.p + KALMAN_Q)).alias("p"), (a.ll - 0.5 * (F.ln(2 * np.pi * s) + e * e / s)).alias("ll"))
-
-    return series.select("symbol", "fold", F.round(F.aggregate("y", start, step, lambda a: a.ll), 6).alias("log_likelihood"))
+    return rounded(_filtered(spark, d).select("symbol", "fold", "log_likelihood"), 6, "log_likelihood")
 
 
 @query
@@ -577,6 +531,14 @@ def walk_forward_summary(spark, d):
     return walk_forward(index(spark, d), MovingAverage(), check=False).summary.drop("per_window_benchmark_sharpes")
 
 
+@query
+def walk_forward_fixed(spark, d):
+    """The whole plan, its summary's columns that no random stream decides."""
+    names = ("sharpe_ratio", "sortino_ratio", "omega_ratio", "max_drawdown", "calmar_ratio", "exposure_fraction", "win_rate", "avg_holding_days", "benchmark_sharpe", "information_ratio", "strategy_beats_benchmark_fraction")
+    run = walk_forward(index(spark, d), FIXED, resamples=100)
+    return rounded(run.summary.select("symbol", *names, "trade_count", "window_count", "flat_cash_window_count"), 8, *names)
+
+
 @query
 def demo_source(spark, d):
     return source.demo_bars(spark)

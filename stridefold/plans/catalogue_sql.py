@@ -8,6 +8,7 @@ SHORTS, LONGS, LOOKBACKS = config.SHORT_WINDOWS, config.LONG_WINDOWS, config.LOO
 WINDOWS = sorted({*SHORTS, *LONGS})
 PAIRS = [(s, n) for s in SHORTS for n in LONGS if s < n]
 YEAR = "sqrt(252.0)"
+EQUAL = "CAST('1.000000000001' AS DOUBLE)"  # means that are nearer than this are equal
 NAN, INF = "CAST('nan' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
 Q, R = 1e-4, 1e-3
 X = (Q + (Q * Q + 4 * Q * R) ** 0.5) / 2
@@ -45,14 +46,14 @@ sized AS (SELECT *, greatest((count(*) OVER (PARTITION BY symbol) - 756) // 252,
 folds AS (SELECT symbol, CAST(unnest(range(max(nf))) AS INTEGER) AS fold FROM sized GROUP BY symbol),
 test AS (SELECT symbol, ts, i, close, high, low, CAST((i - 756) // 252 AS INTEGER) AS fold, CAST((i - 756) % 252 AS INTEGER) AS t FROM sized WHERE i >= 756 AND (i - 756) // 252 < nf),
 train AS (SELECT b.symbol, b.ts, b.i, b.close, f.fold, b.i - f.fold * 252 AS j FROM bars b JOIN folds f ON b.symbol = f.symbol AND b.i >= f.fold * 252 AND b.i < f.fold * 252 + 756),
-mean AS (SELECT symbol, ts, i, close, lead(close) OVER o / close - 1 AS nxt, {", ".join(f"round(avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 9) AS m{n}" for n in WINDOWS)} FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY i)),
+mean AS (SELECT symbol, ts, i, close, lead(close) OVER o / close - 1 AS nxt, {", ".join(f"avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in WINDOWS)} FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY i)),
 nexts AS (SELECT symbol, i, (lead(close) OVER (PARTITION BY symbol ORDER BY i) - close) / close AS nxt FROM bars)"""
 
 
 def ruled(short: int = 50, long: int = 200, name: str = "") -> str:
     """Test signals of a fixed pair."""
     return f"""
-up{name} AS (SELECT symbol, i, m{short} > m{long} AS up, lag(m{short} > m{long}) OVER (PARTITION BY symbol ORDER BY i) AS was FROM mean),
+up{name} AS (SELECT symbol, i, m{short} > m{long} * {EQUAL} AS up, lag(m{short} > m{long} * {EQUAL}) OVER (PARTITION BY symbol ORDER BY i) AS was FROM mean),
 sig{name} AS (SELECT t.symbol, t.fold, t.t, t.ts, t.close, t.high, t.low, CASE WHEN t.t = 0 THEN (CASE WHEN up THEN 1 WHEN was THEN -1 ELSE 0 END) ELSE CAST(up AS INTEGER) - CAST(was AS INTEGER) END AS sig FROM test t JOIN up{name} u ON t.symbol = u.symbol AND t.i = u.i)"""
 
 
@@ -104,13 +105,13 @@ MA_GRID = f"""
 cands(cand_id, s, l) AS (VALUES {", ".join(f"({i}, {s}, {n})" for i, (s, n) in enumerate(PAIRS))}),
 long AS (UNPIVOT (SELECT symbol, i, {", ".join(f"m{n}" for n in WINDOWS)} FROM mean) ON {", ".join(f"m{n}" for n in WINDOWS)} INTO NAME w VALUE m),
 lm AS (SELECT symbol, i, CAST(substr(w, 2) AS INTEGER) AS l, m FROM long),
-state AS (SELECT c.cand_id, c.s, c.l, a.symbol, a.i, a.m > b.m AS up FROM cands c JOIN lm a ON a.l = c.s JOIN lm b ON b.l = c.l AND b.i = a.i AND b.symbol = a.symbol),
+state AS (SELECT c.cand_id, c.s, c.l, a.symbol, a.i, a.m > b.m * {EQUAL} AS up FROM cands c JOIN lm a ON a.l = c.s JOIN lm b ON b.l = c.l AND b.i = a.i AND b.symbol = a.symbol),
 grid AS (SELECT t.symbol, t.fold, s.cand_id, {sharpe("CASE WHEN t.j >= s.l - 1 AND s.up THEN n.nxt ELSE 0 END")} AS sharpe FROM train t JOIN state s USING (symbol, i) JOIN nexts n USING (symbol, i) WHERE t.j < 755 GROUP BY t.symbol, t.fold, s.cand_id),
 best AS (SELECT * FROM grid JOIN cands USING (cand_id) QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY round(sharpe, 12) DESC, cand_id) = 1)"""
 
 MOMENTUM_GRID = f"""
 looks(cand_id, lb) AS (VALUES {", ".join(f"({i}, {n})" for i, n in enumerate(LOOKBACKS))}),
-mom AS (SELECT l.cand_id, l.lb, b.symbol, b.i, coalesce(round(ln(greatest(b.close, 1e-10)) - ln(greatest(p.close, 1e-10)), 12) > 0, false) AS up FROM bars b CROSS JOIN looks l LEFT JOIN bars p ON p.symbol = b.symbol AND p.i = b.i - l.lb),
+mom AS (SELECT l.cand_id, l.lb, b.symbol, b.i, coalesce(ln(greatest(b.close, 1e-10)) - ln(greatest(p.close, 1e-10)) > 0, false) AS up FROM bars b CROSS JOIN looks l LEFT JOIN bars p ON p.symbol = b.symbol AND p.i = b.i - l.lb),
 mgrid AS (SELECT t.symbol, t.fold, s.cand_id, {sharpe("CASE WHEN t.j >= s.lb AND s.up THEN n.nxt ELSE 0 END")} AS sharpe FROM train t JOIN mom s USING (symbol, i) JOIN nexts n USING (symbol, i) WHERE t.j < 755 GROUP BY t.symbol, t.fold, s.cand_id),
 mbest AS (SELECT * FROM mgrid JOIN looks USING (cand_id) QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY round(sharpe, 12) DESC, cand_id) = 1),
 mrows AS (
@@ -127,8 +128,9 @@ def tail(half: str, k: str) -> str:
     return f"(SELECT least(1.0, exp(-{half}) * sum(pow({half}, i) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE))) FROM range(0, {k}) r(i))"
 
 
-def hashed(resamples: int, blocks: int, periods: int) -> str:
-    return f"starts AS (SELECT CAST(b AS INTEGER) AS boot, CAST(k AS INTEGER) AS block, CAST(CAST('0x' || substr(md5(b || '_' || k), 1, 8) AS BIGINT) % {periods} AS INTEGER) AS start FROM range({resamples}) x(b), range({blocks}) y(k))"
+def hashed(blocks: str, periods: str) -> str:
+    """Block starts of all resamples; ``blocks`` and ``periods`` are SQL."""
+    return f"starts AS (SELECT CAST(b AS INTEGER) AS boot, CAST(k AS INTEGER) AS block, CAST(CAST('0x' || substr(md5(b || '_' || k), 1, 8) AS BIGINT) % {periods} AS INTEGER) AS start FROM range({config.RESAMPLES}) x(b), range(CAST({blocks} AS BIGINT)) y(k))"
 
 
 def with_(*parts: str, body: str, recursive: bool = False) -> str:
@@ -136,18 +138,21 @@ def with_(*parts: str, body: str, recursive: bool = False) -> str:
 
 
 def check(active: bool) -> str:
-    x, periods = ("c.r - b.r" if active else "c.r"), 251 * 6
-    size = int(periods**0.5)
-    blocks = periods // size
+    """All periods of a run in one ring; blocks of the root of their number, the last one cut, summed by prefix sums."""
+    x, periods, size = ("c.r - b.r" if active else "c.r"), "(SELECT periods FROM np)", "(SELECT size FROM np)"
     return with_(
-        bars(), HOLD, MOMENTUM_GRID, hashed(200, blocks, periods),
-        f"cx AS (SELECT c.symbol, c.cand_id, {x} AS x, CAST(row_number() OVER (PARTITION BY c.symbol, c.cand_id ORDER BY c.fold, c.t) - 1 AS INTEGER) AS k FROM mcand c JOIN bh b USING (symbol, fold, t))",
-        f"places AS (SELECT boot, CAST((start + o) % {periods} AS INTEGER) AS k, count(*) AS n FROM starts, range({size}) z(o) GROUP BY ALL)",
-        f"bm AS (SELECT c.symbol, c.cand_id, p.boot, sum(p.n * c.x) / {size * blocks} AS boot_mean FROM places p JOIN cx c ON p.k = c.k GROUP BY ALL)",
+        bars(), HOLD, MOMENTUM_GRID,
+        f"cx AS MATERIALIZED (SELECT c.symbol, c.cand_id, {x} AS x, CAST(row_number() OVER (PARTITION BY c.symbol, c.cand_id ORDER BY c.fold, c.t) - 1 AS INTEGER) AS k FROM mcand c JOIN bh b USING (symbol, fold, t))",
+        "np AS MATERIALIZED (SELECT max(k) + 1 AS periods, CAST(floor(sqrt(max(k) + 1)) AS INTEGER) AS size FROM cx)",
+        hashed(f"ceil({periods} / {size})", periods),
+        f"ring AS (SELECT symbol, cand_id, k, x FROM cx UNION ALL SELECT symbol, cand_id, k + {periods}, x FROM cx)",
+        "upto AS MATERIALIZED (SELECT symbol, cand_id, k + 1 AS k, sum(x) OVER (PARTITION BY symbol, cand_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ring UNION ALL SELECT DISTINCT symbol, cand_id, 0, 0.0 FROM cx)",
+        f"ends AS (SELECT boot, start, start + least({size}, {periods} - block * {size}) AS stop FROM starts)",
+        f"bm AS (SELECT a.symbol, a.cand_id, e.boot, sum(z.s - a.s) / {periods} AS boot_mean FROM ends e JOIN upto a ON a.k = e.start JOIN upto z ON z.k = e.stop AND z.symbol = a.symbol AND z.cand_id = a.cand_id GROUP BY ALL)",
         "own AS (SELECT symbol, cand_id, avg(x) AS mean FROM cx GROUP BY ALL)",
         "top AS (SELECT symbol, max(mean) AS observed FROM own GROUP BY symbol)",
         "stat AS (SELECT symbol, boot, max(boot_mean - mean) AS stat FROM bm JOIN own USING (symbol, cand_id) GROUP BY ALL)",
-        body="SELECT symbol, avg(CASE WHEN round(stat, 12) >= round(observed, 12) THEN 1.0 ELSE 0.0 END) AS p, round(max(observed), 10) AS observed FROM stat JOIN top USING (symbol) GROUP BY symbol",
+        body="SELECT symbol, avg(CASE WHEN stat >= observed THEN 1.0 ELSE 0.0 END) AS p FROM stat JOIN top USING (symbol) GROUP BY symbol",
     )
 
 
@@ -214,14 +219,14 @@ max(ts) FILTER (WHERE i = f.fold * 252 + 756) AS test_start, max(ts) FILTER (WHE
     "fold_membership_train": with_(bars(), body="SELECT symbol, fold, count(*) AS n, min(i) AS lo, max(i) AS hi, CAST(sum(j) AS BIGINT) AS sum_j FROM train GROUP BY symbol, fold"),
     "fold_membership_test": with_(bars(), body="SELECT symbol, i, fold, t FROM test"),
     "fold_context": with_(bars(), body="SELECT b.symbol, f.fold, count(*) AS n, min(b.i - 756 - f.fold * 252) AS lo, max(b.i - 756 - f.fold * 252) AS hi, min(b.i) AS first_i FROM bars b JOIN folds f ON b.symbol = f.symbol AND b.i >= 456 + f.fold * 252 AND b.i < 1008 + f.fold * 252 GROUP BY b.symbol, f.fold"),
-    "rolling_ma": with_(bars(), body="SELECT symbol, i, " + ", ".join(f"m{n}" for n in (20, 50, 100, 200, 250)) + " FROM mean WHERE i >= 249"),
+    "rolling_ma": with_(bars(), body="SELECT symbol, i, " + ", ".join(f"round(m{n}, 9) AS m{n}" for n in (20, 50, 100, 200, 250)) + " FROM mean WHERE i >= 249"),
     "ma_signals": with_(
         bars(), "u AS (SELECT symbol, i, CAST(i >= 199 AND m50 > m200 AS INTEGER) AS up FROM mean)", "x AS (SELECT symbol, i, up - coalesce(lag(up) OVER (PARTITION BY symbol ORDER BY i), up) AS sig FROM u)",
         body="SELECT symbol, i, sig FROM x WHERE sig <> 0",
     ),
     "ma_carryover_signals": with_(*BASE, body="SELECT symbol, fold, t, sig FROM sig WHERE sig <> 0 OR t = 0"),
     "momentum_signals": with_(
-        bars(), "m AS (SELECT symbol, i, coalesce(round(ln(greatest(close, 1e-10)) - lag(ln(greatest(close, 1e-10)), 60) OVER (PARTITION BY symbol ORDER BY i), 12) > 0, false) AS up FROM bars)",
+        bars(), "m AS (SELECT symbol, i, coalesce(ln(greatest(close, 1e-10)) - lag(ln(greatest(close, 1e-10)), 60) OVER (PARTITION BY symbol ORDER BY i) > 0, false) AS up FROM bars)",
         "mm AS (SELECT *, lag(up) OVER (PARTITION BY symbol ORDER BY i) AS was FROM m)",
         "ms AS (SELECT t.symbol, t.fold, t.t, CASE WHEN t.t = 0 THEN CAST(up AS INTEGER) ELSE CAST(up AS INTEGER) - CAST(was AS INTEGER) END AS sig FROM test t JOIN mm USING (symbol, i))",
         body="SELECT symbol, fold, t, sig FROM ms WHERE sig <> 0",
@@ -244,7 +249,7 @@ max(ts) FILTER (WHERE i = f.fold * 252 + 756) AS test_start, max(ts) FILTER (WHE
         "h AS (SELECT *, CAST(coalesce(last_value(nullif(late, 0) IGNORE NULLS) OVER (PARTITION BY symbol, fold ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS INTEGER) AS position FROM l)",
         body='SELECT symbol, fold, t, late, "position" FROM h WHERE late <> 0 OR "position" = 1',
     ),
-    "signal_domain": with_(*BASE, "s2 AS (SELECT symbol, fold, CASE WHEN t % 100 = 3 THEN 2 WHEN t % 100 = 5 THEN NULL ELSE sig END AS sig FROM sig)", body="SELECT symbol, fold, count(*) FILTER (WHERE sig IS NULL OR sig NOT IN (-1, 0, 1)) AS bad FROM s2 GROUP BY symbol, fold"),
+    "signal_domain": with_(*BASE, "s2 AS (SELECT symbol, fold, CASE WHEN t % 100 = 3 THEN 2 WHEN t % 100 = 5 THEN NULL ELSE sig END AS sig FROM sig)", body="SELECT symbol, fold, count(*) AS bad FROM s2 WHERE sig IS NULL OR sig NOT IN (-1, 0, 1) GROUP BY symbol, fold"),
     "execution_equity": with_(*RUN, body="SELECT symbol, fold, t, round(equity, 5) AS equity FROM eq"),
     "execution_baseline": with_(*BASE, run([(0.001, 0.0)], 0), body="SELECT symbol, fold, t, round(equity, 5) AS equity FROM eq"),
     "trade_list": with_(*RUN, body="SELECT symbol, fold, trade, entry_ts, exit_ts, round(entry_price, 5) AS entry_price, round(exit_price, 5) AS exit_price, round(shares, 5) AS shares, round(transaction_costs, 5) AS transaction_costs, round(pnl, 5) AS pnl FROM trades"),
@@ -264,12 +269,13 @@ max(ts) FILTER (WHERE i = f.fold * 252 + 756) AS test_start, max(ts) FILTER (WHE
     "rc_hash_bootstrap_cash": check(False),
     "rc_hash_bootstrap_bh": check(True),
     "block_bootstrap_hash": with_(
-        *RUN, hashed(200, 251 // 15 + 1, 251),
+        *RUN, "np AS (SELECT max(t) AS periods, CAST(floor(sqrt(max(t))) AS INTEGER) AS size FROM ret)",
+        hashed("(SELECT periods // size + 1 FROM np)", "(SELECT periods FROM np)"),
         f"own AS (SELECT symbol, fold, avg(r) AS m, {sharpe('r')} AS observed FROM ret GROUP BY symbol, fold)",
-        "cx AS (SELECT r.symbol, r.fold, r.t - 1 AS k, r.r - o.m AS x FROM ret r JOIN own o USING (symbol, fold))",
-        "places AS (SELECT boot, (start + o) % 251 AS k FROM starts, range(15) z(o) WHERE block * 15 + o < 251)",
+        "cx AS MATERIALIZED (SELECT r.symbol, r.fold, r.t - 1 AS k, r.r - o.m AS x FROM ret r JOIN own o USING (symbol, fold))",
+        "places AS (SELECT boot, (start + o) % (SELECT periods FROM np) AS k FROM starts, range((SELECT size FROM np)) z(o) WHERE block * (SELECT size FROM np) + o < (SELECT periods FROM np))",
         f"bs AS (SELECT c.symbol, c.fold, p.boot, {sharpe('c.x')} AS s FROM places p JOIN cx c ON p.k = c.k GROUP BY ALL)",
-        body="SELECT symbol, fold, avg(CASE WHEN round(s, 9) >= round(observed, 9) THEN 1.0 ELSE 0.0 END) AS p FROM bs JOIN own USING (symbol, fold) GROUP BY symbol, fold",
+        body="SELECT symbol, fold, avg(CASE WHEN s >= observed THEN 1.0 ELSE 0.0 END) AS p FROM bs JOIN own USING (symbol, fold) JOIN wm USING (symbol, fold) WHERE NOT flat GROUP BY symbol, fold",
     ),
     "bh_returns": with_(bars(), HOLD, body="SELECT symbol, fold, t, round(r, 10) AS r FROM bh"),
     "benchmark_window": with_(bars(), HOLD, body="SELECT symbol, fold, round(bh_sharpe, 8) AS bh_sharpe, round(bh_sortino, 8) AS bh_sortino, round(bh_max_drawdown, 8) AS bh_max_drawdown FROM bhw"),
@@ -319,9 +325,19 @@ max(ts) FILTER (WHERE i = f.fold * 252 + 756) AS test_start, max(ts) FILTER (WHE
     "param_evolution": with_(bars(), MA_GRID, body="SELECT symbol, fold, 'short_window' AS key, CAST(s AS DOUBLE) AS value FROM best UNION ALL SELECT symbol, fold, 'long_window', CAST(l AS DOUBLE) FROM best"),
     "kalman_filter_fixed": with_(bars(), KALMAN, body="SELECT symbol, fold, k - 50 AS t, round(m, 9) AS level FROM kf WHERE k >= 50", recursive=True),
     "kalman_signals_fixed": with_(
-        bars(), KALMAN, "ku AS (SELECT symbol, fold, k - 50 AS t, coalesce(round(m, 12) > round(lag(m) OVER (PARTITION BY symbol, fold ORDER BY k), 12), false) AS up FROM kf)",
+        bars(), KALMAN, "ku AS (SELECT symbol, fold, k - 50 AS t, coalesce(m > lag(m) OVER (PARTITION BY symbol, fold ORDER BY k), false) AS up FROM kf)",
         "kw AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY symbol, fold ORDER BY t), up) AS was FROM ku)", "kx AS (SELECT symbol, fold, t, CASE WHEN t = 0 AND up THEN 1 ELSE CAST(up AS INTEGER) - CAST(was AS INTEGER) END AS sig FROM kw)",
         body="SELECT symbol, fold, t, sig FROM kx WHERE t >= 0 AND sig <> 0", recursive=True,
     ),
+    "walk_forward_fixed": with_(
+        *RUN, HOLD, COMPARE, "sg AS (SELECT symbol, fold, t, r, product(1 + r) OVER (PARTITION BY symbol ORDER BY fold, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ret)",
+        "sd AS (SELECT *, g / greatest(1, max(g) OVER (PARTITION BY symbol ORDER BY fold, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS dd FROM sg)",
+        f"st AS (SELECT symbol, round({calmar('r', 'dd')}, 8) AS calmar_ratio FROM sd GROUP BY symbol)",
+        "act AS (SELECT r.symbol, r.r - b.r AS a FROM ret r JOIN bh b ON b.symbol = r.symbol AND b.fold = r.fold AND b.t = r.t - 1)",
+        f"ir AS (SELECT symbol, round({sharpe('a')}, 8) AS information_ratio FROM act GROUP BY symbol)",
+        "bf AS (SELECT symbol, round(avg(CASE WHEN sharpe_ratio > bh_sharpe THEN 1.0 ELSE 0.0 END), 8) AS strategy_beats_benchmark_fraction, round(avg(bh_sharpe), 8) AS benchmark_sharpe FROM both_ GROUP BY symbol)",
+        "sm AS (SELECT symbol, " + ", ".join(f"round(coalesce(avg({m}) FILTER (WHERE isfinite({m})), {NAN}), 8) AS {m}" for m in MEANS if m != "avg_win_loss_ratio") + ", round(min(max_drawdown), 8) AS max_drawdown, CAST(sum(trade_count) AS BIGINT) AS trade_count, count(*) AS window_count, CAST(count(*) FILTER (WHERE flat) AS BIGINT) AS flat_cash_window_count FROM wm GROUP BY symbol)",
+        body="SELECT * FROM sm JOIN st USING (symbol) JOIN ir USING (symbol) JOIN bf USING (symbol)",
+    ),
     "kalman_loglik_fixed": with_(bars(), LOGLIK, body="SELECT symbol, fold, round(ll, 6) AS log_likelihood FROM lf WHERE k = 755", recursive=True),
 }

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+#: Rows of ``trades``, ``executed``, ``windows`` and ``summary``.
 TRADE = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, exit_price double, shares double, transaction_costs double, pnl double"
 METRICS = (
     "sharpe_ratio", "sortino_ratio", "max_drawdown", "calmar_ratio", "omega_ratio", "p_value", "combined_p_value", "reality_check_p_value",
@@ -25,7 +26,8 @@ class Backtest:
     fitted: parameters by fold. executed: equity by bar. trades: round trips.
     windows: metrics by fold, with dates, parameters and label (``skipped`` is
     always false). candidates: returns of every candidate, zero in folds without
-    trades. summary: one row a run.
+    trades. summary: one row a run. A run keeps the frames that several of these
+    share; ``close`` (or leaving a ``with`` block) frees them.
     """
 
     name: str
@@ -39,6 +41,18 @@ class Backtest:
     candidates: DataFrame | None
     bh: DataFrame
     summary: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Free what the run keeps in memory and on disk; its tables can still be read, and are computed anew."""
+        for frame in self.kept:
+            frame.unpersist()
+
+    def __enter__(self) -> Backtest:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @property
     def param_evolution(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +25,20 @@ def usable(bars: DataFrame, plan: FoldPlan) -> tuple[DataFrame, DataFrame]:
 
 
 def run_multi_asset(
-    bars: DataFrame, strategies: Sequence[str] = ("ma",), plan: FoldPlan | None = None, execution: ExecutionConfig | None = None, *, seed: int = config.SEED, resamples: int = config.RESAMPLES
+    bars: DataFrame, strategies: Sequence[str] | Mapping[str, Any] = ("ma",), plan: FoldPlan | None = None, execution: ExecutionConfig | None = None, *, seed: int = config.SEED, resamples: int = config.RESAMPLES
 ) -> tuple[Mapping[str, Backtest], DataFrame, DataFrame]:
-    """Backtests by strategy, their summaries in one table, and the symbols left out."""
-    if unknown := sorted(set(strategies) - set(STRATEGIES)):
+    """Backtests by strategy (names, or a mapping of names to strategies), their summaries in one table, and the symbols left out."""
+    own = strategies if isinstance(strategies, Mapping) else {n: STRATEGIES[n]() for n in strategies if n in STRATEGIES}
+    if unknown := sorted(set(strategies) - set(own)):
         raise ValueError(f"unknown strategies: {unknown}; there are {sorted(STRATEGIES)}")
     plan = plan or FoldPlan()
     good, skipped = usable(bars, plan)
-    runs = {name: walk_forward(good, STRATEGIES[name](), plan, execution, seed=seed, resamples=resamples, check=False) for name in strategies}
+    runs = {name: walk_forward(good, rule, plan, execution, seed=seed, resamples=resamples, check=False) for name, rule in own.items()}
     table: DataFrame | None = None
     for run in runs.values():
         traded = run.summary.where("trade_count > 0")
         table = traded if table is None else table.unionByName(traded)
-    return runs, comparison(table, len(strategies) > 1), skipped
+    return runs, comparison(table, len(own) > 1), skipped
 
 
 def comparison(summary: DataFrame, many: bool) -> DataFrame:

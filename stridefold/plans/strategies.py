@@ -71,7 +71,7 @@ class GridStrategy:
 
     def fit(self, featured: DataFrame, plan: FoldPlan) -> DataFrame:
         """The best candidate of each fold: the highest Sharpe, the first of the grid among equals."""
-        best = _ranked_first(self.grid_sharpes(featured, plan), ["symbol", "fold"], F.desc(F.round("sharpe", 12)), F.asc("cand_id"))
+        best = _ranked_first(self.grid_sharpes(featured, plan), ["symbol", "fold"], F.desc("sharpe"), F.asc("cand_id"))
         known = F.array(
             *(
                 F.struct(F.lit(g["ctx"]).alias("ctx"), F.create_map(*(F.lit(x) for k, v in self.params(g).items() for x in (k, float(v)))).alias("params"), F.lit(self.label(g)).alias("label"))
@@ -111,7 +111,7 @@ class GridStrategy:
 
 @dataclass(frozen=True)
 class MovingAverage(GridStrategy):
-    """Long while the short mean of closes is above the long one. Means are compared at nine decimals."""
+    """Long while the short mean of closes is above the long one by more than the rounding of their sums."""
 
     name: str = "moving_average"
     shorts: tuple[int, ...] = config.SHORT_WINDOWS
@@ -122,7 +122,7 @@ class MovingAverage(GridStrategy):
 
     def features(self) -> list[Column]:
         w = Window.partitionBy("symbol").orderBy("ts")
-        return [F.round(F.avg("close").over(w.rowsBetween(1 - n, 0)), 9) for n in self.windows()]
+        return [F.avg("close").over(w.rowsBetween(1 - n, 0)) for n in self.windows()]
 
     def grid(self) -> list[dict[str, int]]:
         at = {n: i for i, n in enumerate(self.windows())}
@@ -130,7 +130,7 @@ class MovingAverage(GridStrategy):
         return [{"cand_id": i, "f1": at[s], "f2": at[n], "need": n - 1, "least": n + 1, "ctx": n + 1, "short": s, "long": n} for i, (s, n) in enumerate(pairs)]
 
     def up(self, c: Column) -> Column:
-        return F.col("f")[c["f1"]] > F.col("f")[c["f2"]]
+        return F.col("f")[c["f1"]] > F.col("f")[c["f2"]] * (1 + config.EQUAL_MEANS)
 
     def label(self, g: dict[str, int]) -> str:
         return f"MA({g['short']}/{g['long']})"
@@ -160,7 +160,7 @@ class Momentum(GridStrategy):
     def features(self) -> list[Column]:
         w = Window.partitionBy("symbol").orderBy("ts")
         log = F.ln(F.greatest(F.col("close"), F.lit(1e-10)))
-        return [F.round(log - F.lag(log, n).over(w), 12) for n in self.lookbacks]
+        return [log - F.lag(log, n).over(w) for n in self.lookbacks]
 
     def grid(self) -> list[dict[str, int]]:
         return [{"cand_id": i, "f1": i, "f2": i, "need": n, "least": n + 2, "ctx": n, "lookback": n} for i, n in enumerate(self.lookbacks)]
@@ -365,7 +365,7 @@ class Custom:
             test = frame[(pdf["t"] >= 0).to_numpy()]
             own.fit(past)
             n = own.context_window_size()
-            context = past.iloc[len(past) - n :] if n > 0 else past.iloc[:0]
+            context = past.iloc[-n:] if n > 0 else past.iloc[:0]
             sig = np.asarray(own.generate_signals_with_context(context, test))
             if len(sig) != len(test) or not np.isin(sig, (-1, 0, 1)).all():
                 raise ValueError(f"{own.name}: signals must be -1, 0 or 1, one a bar")
@@ -391,5 +391,7 @@ class Custom:
         return test_rows(featured, plan).join(sig, ["symbol", "fold", "t"]).select("symbol", F.lit(self.name).alias("strategy"), "fold", "t", "ts", *prices, "sig")
 
     def candidate_returns(self, featured: DataFrame, fitted: DataFrame, plan: FoldPlan) -> DataFrame:
-        ids = fitted.where("cand is not null")
-        return ids.select("symbol", F.lit(self.name).alias("strategy"), "fold", F.xxhash64("cand").cast("int").alias("cand_id"), "t", "r")
+        """A symbol's candidates are numbered in the order of their names."""
+        own = fitted.where("cand is not null")
+        ids = own.select("symbol", "cand").distinct().withColumn("cand_id", F.row_number().over(Window.partitionBy("symbol").orderBy("cand")) - 1)
+        return own.join(ids, ["symbol", "cand"]).select("symbol", F.lit(self.name).alias("strategy"), "fold", "cand_id", "t", "r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,13 +43,15 @@ def walk_forward(
     *,
     seed: int = config.SEED,
     resamples: int = config.RESAMPLES,
-    rc_parts: int = 1,
+    rc_parts: int = 4,
     check: bool = True,
 ) -> Backtest:
     """Backtest of a strategy on all symbols of ``bars`` (symbol, ts, i, close[, high, low]).
 
     Fitted folds and executed bars are kept (memory, then disk) for the branches
-    that share them. With ``check``, no fold or no trade at all is a ValueError.
+    that share them. With ``check``, no fold or no trade at all is a ValueError,
+    and folds whose fit did not converge are named in a warning. ``rc_parts``
+    tasks share the resamples of a Reality Check.
     """
     plan, strategy = plan or FoldPlan(), planned(strategy)
     if check and bars.groupBy("symbol").count().where(F.col("count") >= plan.min_rows).isEmpty():
@@ -57,6 +60,10 @@ def walk_forward(
     featured, fitted, signals, executed, done = run_folds(bars, strategy, plan, [execution])
     fitted, executed = fitted.persist(), executed.persist()
     done = trades(executed)
+    if check and "converged" in fitted.columns:
+        open_folds = fitted.where(~F.col("converged")).select("symbol", "fold").limit(20).collect()
+        if open_folds:
+            warnings.warn(f"{strategy.name}: the fit did not converge in " + ", ".join(f"{x.symbol} fold {x.fold}" for x in open_folds), RuntimeWarning, stacklevel=2)
     if check and done.isEmpty():
         raise ValueError(f"{strategy.name}: no trade in any fold")
     metrics = bootstrap_p_values(calculate_metrics(executed, done), seed, resamples).drop("returns")
@@ -86,4 +93,4 @@ def walk_forward(
         .withColumnsRenamed({"rc_cash": "reality_check_p_value", "rc_bh": "reality_check_bh_p_value"})
         .join(compute_benchmark(windows, returns, test, execution), ["symbol", "strategy"], "left")
     )
-    return Backtest(strategy.name, fitted, test, signals, executed, done, returns, windows, candidates, bh, summary)
+    return Backtest(strategy.name, fitted, test, signals, executed, done, returns, windows, candidates, bh, summary, (fitted, executed, windows))
