@@ -13,6 +13,7 @@ from stridefold.operators.resample import build_candidate_return_matrix, white_r
 from stridefold.operators.signals import returns_from_signals
 from stridefold.plans.dashboard import build_dashboard
 from stridefold.plans.models import Backtest as BacktestResult
+from stridefold.plans.models import BenchmarkResult, MetricsResult, SimulationResult, Trade, WindowResult
 from stridefold.plans.multi_asset import run_multi_asset
 from stridefold.plans.strategies import BaseStrategy
 from stridefold.plans.strategies import Kalman as KalmanFilterStrategy
@@ -26,11 +27,16 @@ from stridefold.sources.sinks import run_records, write_summary_csv, write_summa
 __all__ = [
     "BacktestResult",
     "BaseStrategy",
+    "BenchmarkResult",
     "ExecutionConfig",
     "FoldPlan",
     "KalmanFilterStrategy",
+    "MetricsResult",
     "MomentumStrategy",
     "MovingAverageStrategy",
+    "SimulationResult",
+    "Trade",
+    "WindowResult",
     "build_candidate_return_matrix",
     "build_dashboard",
     "calculate_metrics",

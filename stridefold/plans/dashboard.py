@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +95,16 @@ def _series(frame: DataFrame, x: str, y: str) -> dict[str, list]:
     return {"x": [r[0] for r in rows], "y": [r[1] for r in rows]}
 
 
+def _counts(returns: DataFrame) -> dict[str, Any]:
+    """Every bin's count, empty ones too, and the ends of the bins."""
+    rows = histogram(returns).collect()
+    ends = returns.agg(F.min("r").alias("lo"), F.max("r").alias("hi")).first()
+    counts = [0] * (rows[0].bins if rows else 1)
+    for r in rows:
+        counts[r.bin] = r.n
+    return {"lo": ends.lo, "hi": ends.hi, "y": counts}
+
+
 def dashboard_data(run: Backtest, symbol: str) -> dict:
     """All six panels of one symbol, as plain data."""
     own = lambda f: f.where(F.col("symbol") == symbol)
@@ -110,7 +121,7 @@ def dashboard_data(run: Backtest, symbol: str) -> dict:
         "buy_and_hold": _series(own(buy_and_hold_curve(run.test)), "ts", "bh_equity"),
         "drawdown": _series(drawdowns(curve), "ts", "drawdown"),
         "rolling_sharpe": _series(rolling_sharpe(curve), "ts", "rolling_sharpe"),
-        "histogram": _series(histogram(returns), "bin", "n"),
+        "histogram": _counts(returns),
         "moments": moments(returns).select("mean", "std", "skewness", "excess_kurtosis").first().asDict(),
         "fold_sharpes": [[r.fold, r.sharpe_ratio, "positive" if r.sharpe_ratio >= (bh[i] if i < len(bh) else 0.0) else "negative"] for i, r in enumerate(folds)],
         "parameters": evolution or {"cumulative %": [[p[0], p[1]] for p in zip(*_series(cumulative_percent(curve), "ts", "percent").values())]},
@@ -118,31 +129,68 @@ def dashboard_data(run: Backtest, symbol: str) -> dict:
     }
 
 
-_PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
-<style>body{{font:14px system-ui;margin:24px;max-width:1100px}}svg{{width:100%;height:190px;background:#fafafa}}h2{{font-size:15px;margin:18px 0 4px}}td{{padding:1px 12px 1px 0}}</style>
-<h1>{title}</h1><table id="s"></table><div id="p"></div>
+_HEAD = """<!doctype html><meta charset="utf-8"><title>{title}</title>
+<style>body{{font:14px system-ui;margin:24px;max-width:1100px}}svg{{width:100%;height:210px;background:#fafafa}}h2{{font-size:15px;margin:18px 0 4px}}td,th{{padding:1px 12px 1px 0;text-align:left}}text{{font:11px system-ui;fill:#555}}</style>
+<h1>{title}</h1>"""
+
+_PAGE = (
+    _HEAD
+    + """<table id="s"></table><p id="n"></p><div id="p"></div>
 <script>const d={data};
-const S=(t,b)=>{{p.insertAdjacentHTML('beforeend','<h2>'+t+'</h2><svg viewBox="0 0 1000 190" preserveAspectRatio="none">'+b+'</svg>')}};
-const fit=(ys)=>{{const v=ys.filter(Number.isFinite),a=Math.min(...v),z=Math.max(...v);return y=>180-170*(y-a)/((z-a)||1)}};
-const line=(ys,f,c)=>'<polyline fill="none" stroke="'+c+'" points="'+ys.map((y,i)=>[1000*i/Math.max(1,ys.length-1),f(y)].join()).join(' ')+'"/>';
-const bars=(ys,cs)=>{{const f=fit([0,...ys]),w=1000/Math.max(1,ys.length);return ys.map((y,i)=>'<rect x="'+w*i+'" width="'+w*.9+'" y="'+Math.min(f(y),f(0))+'" height="'+Math.abs(f(y)-f(0))+'" fill="'+cs(i)+'"/>').join('')}};
-const e=d.equity.y,b=d.buy_and_hold.y,f=fit([...e,...b]);
-S('Equity (blue) and buy and hold (grey)',line(b,f,'#999')+line(e,f,'#2563eb'));
-S('Drawdown',line(d.drawdown.y,fit(d.drawdown.y),'#dc2626'));
-S('Rolling Sharpe, 63 bars',line(d.rolling_sharpe.y,fit(d.rolling_sharpe.y),'#2563eb'));
-S('Sharpe by fold',bars(d.fold_sharpes.map(x=>x[1]),i=>d.fold_sharpes[i][2]=='positive'?'#16a34a':'#dc2626'));
-S('Daily returns: skewness '+(+d.moments.skewness).toFixed(2)+', excess kurtosis '+(+d.moments.excess_kurtosis).toFixed(2),bars(d.histogram.y,()=>'#2563eb'));
-for(const [k,v] of Object.entries(d.parameters)){{const y=v.map(x=>x[1]);S(k,line(y,fit(y),'#7c3aed'))}}
+const num=v=>!Number.isFinite(v)?'':Math.abs(v)>=1000?v.toFixed(0):+v.toPrecision(3);
+// a panel: a frame of 60..990 by 10..180, its ends written on both axes
+const S=(t,b,y,x)=>{{const u='<line x1="60" x2="990" y1="180" y2="180" stroke="#bbb"/><line x1="60" x2="60" y1="10" y2="180" stroke="#bbb"/>',
+ l=(a,c,e,v)=>'<text x="'+a+'" y="'+c+'" text-anchor="'+e+'">'+v+'</text>';
+ p.insertAdjacentHTML('beforeend','<h2>'+t+'</h2><svg viewBox="0 0 1000 200">'+u+b+l(55,18,'end',num(y[1]))+l(55,180,'end',num(y[0]))+l(60,196,'start',x[0])+l(990,196,'end',x[1])+'</svg>')}};
+const ends=(ys)=>{{const v=ys.filter(Number.isFinite);return v.length?[Math.min(...v),Math.max(...v)]:[0,1]}};
+const fit=([a,z])=>y=>180-170*(y-a)/((z-a)||1);
+const line=(ys,f,c)=>'<polyline fill="none" stroke="'+c+'" points="'+ys.map((y,i)=>Number.isFinite(y)?[60+930*i/Math.max(1,ys.length-1),f(y)].join():'').join(' ')+'"/>';
+const bars=(ys,f,cs)=>{{const w=930/Math.max(1,ys.length);return ys.map((y,i)=>'<rect x="'+(60+w*i)+'" width="'+w*.9+'" y="'+Math.min(f(y),f(0))+'" height="'+Math.abs(f(y)-f(0))+'" fill="'+cs(i)+'"/>').join('')}};
+const days=x=>x.length?[x[0].slice(0,10),x[x.length-1].slice(0,10)]:['',''];
+const plot=(t,xs,...ls)=>{{const y=ends(ls.flatMap(l=>l[0]));S(t,ls.map(l=>line(l[0],fit(y),l[1])).join(''),y,xs)}};
+plot('Equity (blue) and buy and hold (grey)',days(d.equity.x),[d.buy_and_hold.y,'#999'],[d.equity.y,'#2563eb']);
+plot('Drawdown',days(d.drawdown.x),[d.drawdown.y,'#dc2626']);
+plot('Rolling Sharpe, 63 bars',days(d.rolling_sharpe.x),[d.rolling_sharpe.y,'#2563eb']);
+{{const y=ends([0,...d.fold_sharpes.map(x=>x[1])]);S('Sharpe by fold (green: buy and hold reached)',bars(d.fold_sharpes.map(x=>x[1]),fit(y),i=>d.fold_sharpes[i][2]=='positive'?'#16a34a':'#dc2626'),y,['fold 0','fold '+(d.fold_sharpes.length-1)])}}
+{{const h=d.histogram,m=d.moments,n=h.y.reduce((a,b)=>a+b,0),w=(h.hi-h.lo)/h.y.length,k=300,
+ c=m.std>0?Array.from({{length:k}},(_,i)=>{{const z=(h.lo+(h.hi-h.lo)*i/(k-1)-m.mean)/m.std;return n*w*Math.exp(-z*z/2)/(m.std*Math.sqrt(2*Math.PI))}}):[],y=ends([0,...h.y,...c]);
+ S('Daily returns and the Normal curve: skewness '+num(+m.skewness)+', excess kurtosis '+num(+m.excess_kurtosis),bars(h.y,fit(y),()=>'#93c5fd')+line(c,fit(y),'#dc2626'),y,[num(h.lo),num(h.hi)])}}
+for(const [k,v] of Object.entries(d.parameters)){{const y=v.map(x=>x[1]);plot(k.replaceAll('_',' '),[String(v[0]?.[0]??'').slice(0,10),String(v[v.length-1]?.[0]??'').slice(0,10)],[y,'#7c3aed'])}}
 s.innerHTML=Object.entries(d.summary).map(([k,v])=>'<tr><td>'+k+'<td>'+v).join('');
+n.textContent=d.note;
 </script>"""
+)
+
+
+def _heat(p: float | None) -> str:
+    """Green for a small p, red for a large one, grey for none."""
+    return "#ddd" if p is None or p != p else f"hsl({120 * (1 - p):.0f},70%,72%)"
+
+
+def build_heatmap(sweeps: dict[str, DataFrame], path: str | Path) -> Path:
+    """A page of Fisher's p by cost and slippage, a table for each named sweep of one symbol."""
+    body = []
+    for name, sweep in sweeps.items():
+        cells = {(r.cost, r.slippage): r.fisher_p for r in sweep.collect()}
+        costs, slips = (sorted({k[i] for k in cells}) for i in (0, 1))
+        head = "<tr><th>cost \\ slippage" + "".join(f"<th>{x:.3f}" for x in slips)
+        rows = "".join(f"<tr><th>{c:.4f}" + "".join(f'<td style="background:{_heat(cells[c, x])};padding:6px 14px">' + ("N/A" if cells[c, x] != cells[c, x] else f"{cells[c, x]:.3f}") for x in slips) for c in costs)
+        body.append(f"<h2>{html.escape(name)}: Fisher p</h2><table>{head}{rows}</table>")
+    where = Path(path)
+    where.parent.mkdir(parents=True, exist_ok=True)
+    where.write_text(_HEAD.format(title="Cost sensitivity") + "".join(body) + "<p>Green: a small p, evidence of an edge. Red: none.</p>")
+    return where
 
 
 def build_dashboard(run: Backtest, symbol: str, path: str | Path) -> Path:
     """Write the page of one symbol; it needs nothing but itself."""
-    from stridefold.sources.sinks import plain
+    from stridefold.sources.sinks import plain, verdict_text
 
     where = Path(path)
     where.parent.mkdir(parents=True, exist_ok=True)
-    data = json.dumps(plain(dashboard_data(run, symbol))).replace("</", "<\\/")
+    panels = dashboard_data(run, symbol)
+    m = panels["summary"]
+    panels["note"] = verdict_text(*(m.get(k, float("nan")) for k in ("combined_p_value", "reality_check_p_value", "reality_check_bh_p_value"))) if m else ""
+    data = json.dumps(plain(panels)).replace("</", "<\\/")
     where.write_text(_PAGE.format(title=html.escape(f"{run.name}: {symbol}"), data=data))
     return where

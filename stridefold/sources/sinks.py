@@ -11,6 +11,8 @@ from dataclasses import asdict
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from stridefold import config
 from stridefold.config import ExecutionConfig
 from stridefold.plans.models import BENCHMARK, METRICS, Backtest
@@ -125,6 +127,26 @@ def report(records: Sequence[dict[str, Any]]) -> str:
     return "\n".join(lines)
 
 
+def cost_table(name: str, sweep: DataFrame) -> str:
+    """Fisher's p of one symbol's sweep, costs down and slippages across; * where it is significant."""
+    cells = {(r.cost, r.slippage): r.fisher_p for r in sweep.collect()}
+    costs, slips = (sorted({k[i] for k in cells}) for i in (0, 1))
+    mark = lambda p: shown(p, ".3f") + ("*" if p < config.SIGNIFICANCE else " ")
+    head = f"== {name}: Fisher p by cost and slippage\n" + " " * 14 + "".join(f"{f'slip {x:.3f}':>12}" for x in slips)
+    return "\n".join([head, *(f"  cost {c:.4f} " + "".join(f"{mark(cells[c, x]):>12}" for x in slips) for c in costs)])
+
+
+def asset_table(table: DataFrame) -> str:
+    """All runs side by side, one a line; * where Fisher's p is significant."""
+    lines = [f"== {'run':20}{'Sharpe':>9}{'Fisher p':>10}{'RC cash':>9}{'RC B&H':>9}{'beats':>7}{'IR':>9}{'max DD':>9}"]
+    for r in table.orderBy("run").collect():
+        lines.append(
+            f"   {r.run:20}{shown(r.sharpe_ratio, '.3f'):>9}{shown(r.combined_p_value) + ('*' if r.significant else ' '):>10}{shown(r.reality_check_p_value):>9}{shown(r.reality_check_bh_p_value):>9}"
+            f"{shown(r.strategy_beats_benchmark_fraction, '.0%'):>7}{shown(r.information_ratio, '.3f'):>9}{shown(r.max_drawdown, '.1%'):>9}"
+        )
+    return "\n".join(lines)
+
+
 def window_table(run: Backtest) -> str:
     """A line a fold."""
     rows = run.windows.orderBy("symbol", "fold").collect()
