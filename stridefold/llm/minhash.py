@@ -315,12 +315,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows, id_col=row, text_col=text_col, **how).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     found = scratch.save(found, "found")
-    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    several = scratch.save(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "several")  # written, so that a large group can be split in the join
     owned = found.join(several, "component").join(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id")), "row")
     owned = scratch.save(owned, "owned")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     stays = owned.groupBy("component").agg(F.min(first)["row"].alias("row")).select("row")
     gone = scratch.save(owned.select("row").join(stays, "row", "left_anti"), "gone").withColumnRenamed("row", row)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    scratch.drop("found", "owned")
+    scratch.drop("found", "several", "owned")
     return rows.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

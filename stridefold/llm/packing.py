@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridefold.llm.scratch import bounded_batches
-from stridefold.llm.textkernel import buffers, cuts
+from stridefold.llm.textkernel import buffers, cuts, give_back
 from stridefold.llm.wordbpe import word_encoder
 
 CAPACITY = 2048
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
@@ -108,6 +108,7 @@ def pack(
             held = 0
             keys.clear()
             ids.clear()
+            give_back()
             return out
 
         for batch in batches:

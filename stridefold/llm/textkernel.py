@@ -13,6 +13,7 @@ documents; one longer document makes a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -31,6 +32,13 @@ LOWER[65:91] += 32
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
+def give_back() -> None:
+    """Return freed memory to the system (glibc keeps it otherwise, and a worker lives on between tasks)."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = np.asarray(x, _U)
@@ -169,6 +177,8 @@ def blocks(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE, see
     data, offsets = buffers(column)
     for lo, hi in cuts(offsets):
         yield Block(data, offsets, lo, hi, lower, space, seed)
+    if len(offsets) > 1 and offsets[-1] - offsets[0] >= BLOCK_BYTES:
+        give_back()
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import numpy as np
 
 from stridefold.llm.textkernel import LONG, Block, equal_ranges
 
-KEEP_CHUNKS, KEEP_PARTS = 400_000, 100_000
+KEEP_CHUNKS, KEEP_PARTS = 300_000, 100_000
 #: A chunk's letters (ASCII and U+00C0 to U+00FF) and its tail of ASCII punctuation, or a chunk of another make.
 #: Nothing after such letters can join with them; an apostrophe is left out, as it can begin a contraction.
 _PARTS = re.compile(rb"^((?:[a-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+)([!-&(-/:-@\[-`{-~]*+)$|^([^\n]+)$", re.MULTILINE)
@@ -46,7 +46,7 @@ class Pool:
 
     def __init__(self, kind: str):
         self.data, self.filled = np.zeros(1 << 16, kind), 0
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)  # strings of at most LONG bytes, a bounded number of them
 
     def insert(self, at: np.ndarray, strings: list[bytes]) -> None:
         more = np.frombuffer(b"".join(strings), self.data.dtype)
@@ -60,14 +60,14 @@ class Pool:
     def keep(self, kept: np.ndarray) -> None:
         self.data = self.data[_ragged(self.start[kept], self.size[kept])]
         self.size, self.filled = self.size[kept], len(self.data)
-        self.start = np.cumsum(self.size) - self.size
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
 
 
 class Known:
     """Chunks and their ids, in the order of the chunks' hashes."""
 
     def __init__(self) -> None:
-        self.keys, self.used, self.turn = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.keys, self.used, self.turn = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.text, self.ids = Pool("u1"), Pool("<u4")
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
