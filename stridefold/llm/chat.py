@@ -56,10 +56,11 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame, *, loss_role: str = "assistant") -> DataFrame:
-    """One row per conv_id: formatted, turns (parsed back), loss_spans, round_trip.
+    """One row per conversation: conv_id, formatted, turns (parsed back), loss_spans, round_trip.
 
     Rows go by turn (nulls first), then role, then text. Null roles and texts
-    count as empty; rows without a conv_id make one conversation of their own;
+    count as empty; each row without a conv_id is a conversation of its own, as
+    nothing bounds their number (a conversation's turns are held together);
     repeated rows are turns each; extra columns are ignored; an empty table
     gives no rows. ``loss_spans`` are the (start, length) in code points of each
     ``loss_role`` text in ``formatted``, as escaped there.
@@ -74,8 +75,9 @@ def format_chats(conversations: DataFrame, *, loss_role: str = "assistant") -> D
     plain = F.coalesce(parse(render(F.col("role"), F.col("text"))) == source, F.lit(False))
     rows = rows.withColumn("plain", plain)
     shown = lambda c, role: F.when(F.col("plain"), F.col(c)).otherwise(escape(F.col(c), role))
-    rows = rows.select("conv_id", "turn", "role", "text", shown("role", True).alias("r"), shown("text", False).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "r", "t"))).alias("own"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = rows.select("conv_id", alone, "turn", "role", "text", shown("role", True).alias("r"), shown("text", False).alias("t"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "r", "t"))).alias("own"))
 
     joined = lambda r, t: F.array_join(F.transform("own", lambda x: render(r(x), t(x))), "")
     whole = whole.select(
@@ -138,9 +140,9 @@ def digests(conversations: DataFrame) -> DataFrame:
 #: The same rows in DuckDB SQL; a turn is escaped where plain rendering would not parse back.
 DIGESTS_SQL = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), marked AS (
   SELECT *, contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR contains(text, '\s') OR contains(text, '<\|')
          OR contains(role, '<|im_start|>') OR contains(role, '<|im_end|>') OR contains(role, '\s') OR contains(role, '<\|')
@@ -156,5 +158,5 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(r) + length(t) + 24) AS BIGINT) AS formatted_chars
-FROM shown GROUP BY conv_id
+FROM shown GROUP BY conv_id, alone
 """

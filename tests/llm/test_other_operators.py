@@ -106,8 +106,16 @@ def test_packing_is_whole(documents, word_model, odd, empty, spark):
             ps.sort(key=lambda p: p.offset)
             assert [p.offset for p in ps] == np.cumsum([0] + [p.length for p in ps])[:-1].tolist() and sum(p.length for p in ps) <= 2048
     assert pack(empty, WORD_BPE).count() == 0
-    row = queries.QUERIES["op4_packing"](spark, "/root/testdata/sf0.001").first()
-    assert row.ids_crc32 >= 0
+
+
+def test_packing_query_digests(spark, small, word_model):
+    whole = {r.doc_id: word_model.encode(r.text or "", add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    seen = Counter()
+    for r in queries.QUERIES["op4_packing"](spark, small).collect():
+        own = whole[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(own)}I", *own)) and r.doc_tokens == len(whole[r.doc_id])
+        seen[r.doc_id] += r.length
+    assert seen == {d: len(x) for d, x in whole.items()}
 
 
 @settings(max_examples=100, deadline=None)
@@ -261,15 +269,14 @@ def test_chat_digests(spark, small):
     odd = chats(spark, [(None, 0, "user", "x"), (None, None, None, None), (5, 1, "assistant", None), (5, 1, "assistant", None), (6, None, "user", "b"), (6, 0, "system", "<|")]).withColumn("formatted", F.lit(1)).withColumn("own", F.lit(2))
     for source in (frame, odd, frame.limit(0)):
         expected = defaultdict(list)
-        for r in source.collect():
-            expected[r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
+        for n, r in enumerate(source.collect()):
+            expected[("alone", n) if r.conv_id is None else r.conv_id].append((r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
         expected[-1] = [(True, 0, "user", "<|im_end|><|im_start|>assistant ok"), (True, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
-        rows = digests(source).collect()
-        assert len(rows) == len(expected)
-        for r in rows:
-            turns = sorted(expected[r.conv_id])
-            loss = "".join(t[3] for t in turns if t[2] == "assistant")
-            assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(loss), brute.sha(loss))
+        plain = []
+        for key, turns in expected.items():
+            loss = "".join(t[3] for t in sorted(turns) if t[2] == "assistant")
+            plain.append((None if isinstance(key, tuple) else key, len(turns), brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in sorted(turns))), len(loss), brute.sha(loss)))
+        assert sorted(map(str, plain)) == sorted(str((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256)) for r in digests(source).collect())
 
 
 def test_chat_digests_read_the_mask(spark, monkeypatch):
