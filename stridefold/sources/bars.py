@@ -119,15 +119,15 @@ def validate_data(bars: DataFrame, min_rows: int = 0, arrival: str | None = None
         raise ValueError("ts must be a timestamp column")
     if "close" not in kinds:
         raise ValueError("no close column")
-    rows = validation_report(bars, min_rows).orderBy("symbol").collect()  # a row a symbol
-    if not rows:
+    failed = validation_report(bars, min_rows).where("reason is not null").orderBy("symbol").first()
+    if failed is None and bars.isEmpty():
         raise ValueError("no rows")
     if arrival:
         back = bars.withColumn("before", F.lag("ts").over(Window.partitionBy("symbol").orderBy(arrival))).where("before > ts").limit(1)
         if not back.isEmpty():
             raise ValueError("timestamps do not increase")
-    if failed := [r for r in rows if r.reason]:
-        raise ValueError(f"{failed[0].symbol}: {failed[0].reason}")
+    if failed:
+        raise ValueError(f"{failed.symbol}: {failed.reason}")
     return bars
 
 
