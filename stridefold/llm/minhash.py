@@ -265,7 +265,7 @@ def near_duplicates(
         apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
         return a.join(b, apart & _possible("a", "b", percent)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
 
-    across = met(scratch.save(rest.where("direct").select("key", "id", "root"), "direct"))
+    across = met(rest.where("direct").select("key", "id", "root"))
     large = scratch.save(rest.where("not direct").select("id", "root").distinct(), "large")
     many = large.count()
     if many:
@@ -284,7 +284,7 @@ def near_duplicates(
     more = confirmed(across, "second")
     if not more.isEmpty():
         labels = components(links.union(more), scratch, "second-labels")
-    scratch.drop("reps", "shared", "rest", "direct", "large", "large-texts", "leads", "rare", "stars", "across")
+    scratch.drop("reps", "shared", "rest", "large", "large-texts", "leads", "rare", "stars", "across")
     return (
         signed.select("id", "n", "digest")
         .join(classes, "digest", "left")
