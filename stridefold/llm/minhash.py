@@ -227,11 +227,15 @@ def near_duplicates(
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     shared = scratch.save(banded.join(shared, "key"), "shared")
 
+    def chosen(ids: DataFrame) -> DataFrame:
+        """The texts of these ids in few parts of like size: they may be few, or lie together, in many files."""
+        return texts.join(ids, "id", "left_semi").hint("rebalance")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that are links, by their full sets."""
         ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = scratch.save(texts.join(ids, "id", "left_semi").mapInArrow(_set_rows(shingle, lower, seed), "id long, members binary"), f"{name}-sets")
+        sets = scratch.save(chosen(ids).mapInArrow(_set_rows(shingle, lower, seed), "id long, members binary"), f"{name}-sets")
         both = (
             pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u")
             .join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
@@ -270,7 +274,7 @@ def near_duplicates(
     many = large.count()
     if many:
         ids = F.broadcast(large.select("id")) if many <= BROADCAST_IDS else large.select("id")
-        own = scratch.save(texts.join(ids, "id", "left_semi"), "large-texts")
+        own = scratch.save(chosen(ids), "large-texts")
         counts = own.mapInArrow(_frequencies(shingle, lower, seed), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
         frequency = np.zeros(COUNTERS, np.int64)
         frequency[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
