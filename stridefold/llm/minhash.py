@@ -39,7 +39,7 @@ from stridefold.llm.textkernel import blocks, mix, shingle_sets
 ROWS = 5
 MISS = 1e-5
 SKETCH_LONGS = 16
-#: A list of ids is broadcast up to so many rows (8 bytes each); it is counted first.
+#: A list of ids (and roots) is broadcast up to so many rows (8 bytes a column); it is counted first.
 BROADCAST_IDS = 500_000
 #: Mixed buckets of up to so many rows are joined with themselves.
 DIRECT = 64
@@ -280,8 +280,9 @@ def near_duplicates(
         frequency[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
         leads = own.mapInArrow(_rarest(shingle, lower, seed, percent, spark.sparkContext.broadcast(frequency)), "id long, element long")
         leads = scratch.save(leads.distinct(), "leads")
-        common = leads.groupBy("element").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("element")
-        rare = leads.join(common, "element").join(large, "id").select(F.col("element").alias("key"), "id", "root")
+        rooted = leads.join(F.broadcast(large) if many <= BROADCAST_IDS else large, "id").select(F.col("element").alias("key"), "id", "root")
+        crossing = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")  # near copies that are linked already do not meet again
+        rare = rooted.join(crossing, "key")
         across = across.union(met(scratch.save(rare, "rare")))
     across = across.distinct().join(stars, ["u", "v"], "left_anti")
     across = scratch.save(across, "across")

@@ -127,6 +127,21 @@ def test_bucket_of_dissimilar_texts(spark, monkeypatch):
     assert pairs["rare"] < 20 * len(texts) and pairs["across"] < len(texts)
 
 
+def test_linked_copies_do_not_meet_again(spark, monkeypatch):
+    """Shingles that only one component has are left out, in a bucket that it shares with other texts."""
+    texts, rng = boilerplate(300, 0), random.Random(8)
+    texts += [texts[0][:-1] + [f"c{rng.random()}"] for _ in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rare, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name: rare.append(frame.select("key", "root").collect()) or save(self, frame, name) if name == "rare" else save(self, frame, name))
+    got = by_id(near_duplicates(docs, shingle=3, percent=85, rows=2, bands=8))
+    assert {i: r.component_id for i, r in got.items()} == {i: i if i < 300 else 0 for i in range(800)}
+    roots = {}
+    for key, root in rare[0]:
+        roots.setdefault(key, set()).add(root)
+    assert all(len(r) > 1 for r in roots.values())
+
+
 @pytest.mark.parametrize("direct", [0, 2, 10**9])
 def test_mixed_buckets_by_either_way(spark, documents, direct, monkeypatch):
     """Groups that stars leave apart, by joined buckets and by rarest shingles: equal to all pairs."""
