@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridefold.llm.scratch import bounded_batches
-from stridefold.llm.textkernel import Block, blocks, mix
+from stridefold.llm.textkernel import Block, blocks, give_back, mix
 
 #: Bounds of the labelled rows that the model is fitted on, and of the characters of all their texts together.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 2000, 5000, 32_000_000
@@ -76,34 +76,43 @@ def sentences(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
-    """Adagrad through the noisy-or; features in fewer than LEAST_DOCS documents, or that tell nothing of the labels, stay at 0."""
-    words, sent, bags, docs, base = [], [], [], 0, 0
+    """Adagrad through the noisy-or; features in fewer than LEAST_DOCS documents, or that tell nothing of the labels, stay at 0.
+
+    It runs on the driver, so a block's features are made twice rather than all
+    held at once: first to count them, then for the words that have a used one.
+    """
+    model = Model(np.zeros(1 << BITS, np.float32), BIAS)
+    seen, seen_toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    bags, docs = [], 0
     for block in blocks(texts, True, _GAP):
         s, d = sentences(block)
         once = distinct(block, s)
-        words.append(features(block)[once].astype(np.int32))
-        sent.append((s[once] + base).astype(np.int32))
+        words, doc = features(block)[once], d[s[once]]
+        for j in range(words.shape[1]):
+            pairs = np.unique(doc << BITS | words[:, j])
+            for counts, some in ((seen, pairs), (seen_toxic, pairs[toxic[docs + (pairs >> BITS)] == 1])):
+                counts += np.bincount(some & ((1 << BITS) - 1), minlength=1 << BITS)
         bags.append((d + docs).astype(np.int32))
-        docs, base = docs + block.docs, base + len(d)
-    model = Model(np.zeros(1 << BITS, np.float32), BIAS)
-    if not docs or not base or not toxic.any():
+        docs += block.docs
+    if not docs or not any(map(len, bags)) or not toxic.any():
         return model
-    sent, bags = np.concatenate(sent), np.concatenate(bags)
-    words = np.concatenate(words)
-    seen, seen_toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    doc = bags[sent]
-    for j in range(words.shape[1]):
-        pairs = np.unique(doc.astype(np.int64) << BITS | words[:, j])
-        for counts, some in ((seen, pairs), (seen_toxic, pairs[toxic[pairs >> BITS] == 1])):
-            counts += np.bincount(some & ((1 << BITS) - 1), minlength=1 << BITS)
     expected = np.maximum(seen, 1) * toxic.mean()
     told = (seen_toxic - expected) ** 2 >= CHI_SQUARE * expected * (1 - toxic.mean())
     used = (seen >= LEAST_DOCS) & told
     used[0] = False
     index = np.where(used, np.cumsum(used), 0).astype(np.int32)  # 0: unused
-    compact = index[words]
-    del words
-    first_word = np.searchsorted(doc, np.arange(docs + 1))
+    compact, sent, base = [], [], 0
+    for block, bag in zip(blocks(texts, True, _GAP), bags):
+        s, _ = sentences(block)
+        once = distinct(block, s)
+        own = index[features(block)[once]]
+        some = own.any(1)
+        compact.append(own[some])
+        sent.append((s[once][some] + base).astype(np.int32))
+        base += len(bag)
+    compact, sent, bags = np.concatenate(compact), np.concatenate(sent), np.concatenate(bags)
+    first_sentence = np.searchsorted(bags, np.arange(docs + 1))
+    first_word = np.searchsorted(sent, first_sentence)
     w, b = np.zeros(int(used.sum()) + 1), BIAS
     gw, gb = np.full(len(w), 1e-2), 1e-2
     rng = np.random.default_rng(seed)
@@ -111,11 +120,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
         order = rng.permutation(docs)
         for at in range(0, docs, BATCH):
             some = np.sort(order[at : at + BATCH])
-            pick = np.concatenate([np.arange(first_word[d], first_word[d + 1]) for d in some])
-            if not len(pick):
+            s, pick = (np.concatenate([np.arange(first[d], first[d + 1]) for d in some]) for first in (first_sentence, first_word))
+            if not len(s):
                 continue
             f = compact[pick]
-            s, inverse = np.unique(sent[pick], return_inverse=True)
+            inverse = np.searchsorted(s, sent[pick])
             bag = np.searchsorted(some, bags[s])
             z = b + np.bincount(inverse, w[f].sum(1), len(s))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -171,7 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
     wanted = F.broadcast(docs.sparkSession.createDataFrame(kept.select(["id", "hash"])))
     texts = rows.withColumn("hash", F.xxhash64("text")).join(wanted, ["id", "hash"]).groupBy("id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("id")
-    return fit(texts.column("text").combine_chunks(), texts.column("toxic").to_numpy())
+    model = fit(texts.column("text").combine_chunks(), texts.column("toxic").to_numpy())
+    del texts
+    pa.default_memory_pool().release_unused()
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
