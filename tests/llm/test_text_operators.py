@@ -5,14 +5,16 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
-from stridefold.llm import langid, queries, toxicity
+from stridefold.llm import langid, queries, scratch, toxicity
 from stridefold.llm.graph import components
 from stridefold.llm.minhash import bands_for, drop_near_duplicates, near_duplicates, odd_sketches, one_permutation
 from stridefold.llm.quality import BASE_RULES, RULES, Texts, drop_rejected, quality, ranked, verdicts
@@ -155,6 +157,21 @@ def test_mixed_buckets_by_either_way(spark, documents, direct, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute.components(texts, 3, 85).items()}
 
 
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """After each table that is written; a JVM that does not know how is left alone."""
+    made = []
+    monkeypatch.setattr(scratch, "trim_driver", lambda s, trim=scratch.trim_driver: made.append(trim(s)))
+    near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"), shingle=2).collect()
+    assert len(made) > 5 and all(made)
+
+    class Closed:
+        def __getattr__(self, name):
+            raise Py4JError(name)
+
+    monkeypatch.undo()
+    assert scratch.trim_driver(SimpleNamespace(_jvm=Closed())) is False
+
+
 def test_signature_parts():
     assert bands_for(85) == 20 and (1 - 0.8**5) ** bands_for(80) < 1e-5
     rng = np.random.default_rng(0)
